@@ -53,8 +53,9 @@ def dedup_lines(documents: DataFrame, min_sites: int = MIN_SITES, id_col: str =
     out = lines.join(common, ["h1", "h2"]).where(~F.struct("doc_id", "t1", "t2", "place").eqNullSafe(F.col("first")))
     out = out.groupBy("doc_id", "t1", "t2").agg(F.sort_array(F.collect_set("place")).alias("_out"))
     out = out.select(F.col("doc_id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "_out")
-    rows = documents.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), text.alias("text"), t1.alias("k1"), t2.alias("k2"))
-    joined = rows.join(out, F.col("id").eqNullSafe(F.col("_id")) & (F.col("k1") == F.col("_t1")) & (F.col("k2") == F.col("_t2")), "left")
+    rows = documents.select(F.struct("*").alias("row"), t1.alias("k1"), t2.alias("k2"))
+    joined = rows.join(out, F.col("row").getField(id_col).eqNullSafe(F.col("_id")) & (F.col("k1") == F.col("_t1")) & (F.col("k2") == F.col("_t2")), "left")
+    joined = joined.select("row", "_out", F.col("row").getField(text_col).alias("text"))
     split = F.split("text", "\n", -1)
     ends = F.concat(F.array(F.lit(-1)), F.col("_out"), F.array(F.size(split)))
     runs = F.transform(F.sequence(F.lit(0), F.size("_out")), lambda k: F.slice("lines", F.get("ends", k) + 2, F.get("ends", k + 1) - F.get("ends", k) - 1))

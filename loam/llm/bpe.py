@@ -26,26 +26,31 @@ from pyspark.sql import functions as F
 
 from loam.llm._common import prepare
 
+#: At most 64: positions of short pieces take six bits.
 LONG_BYTES = 64
+#: Bytes of texts whose new pieces go into one query.
+GATHERED_BYTES = 4 << 20
 #: Bytes of pieces per DuckDB query.
 QUERY_BYTES = 400_000
 CACHE_PIECES = 250_000
 
+#: Positions are numbered through: place >> 6 is the piece, place & 63 the position, so that one order serves all.
 _SHORT = """
-WITH RECURSIVE step(piece, pos, tok, live) AS (
-  SELECT piece, pos, tok, true FROM seed
+WITH RECURSIVE step(place, tok, live) AS (
+  SELECT piece::BIGINT * 64 + pos, tok, true FROM seed
   UNION ALL (
     WITH pair AS (
-      SELECT a.piece, a.pos, a.tok, a.next_pos, m.merged
-      FROM (SELECT piece, pos, tok, lead(tok) OVER w AS next_tok, lead(pos) OVER w AS next_pos
-            FROM step WHERE live WINDOW w AS (PARTITION BY piece ORDER BY pos)) a
-      LEFT JOIN merges m ON m.left_tok = a.tok AND m.right_tok = a.next_tok),
-    best AS (
-      SELECT piece, min(struct_pack(merged := merged, pos := pos, next_pos := next_pos)) AS hit
-      FROM pair WHERE merged IS NOT NULL GROUP BY piece)
-    SELECT p.piece, p.pos, CASE WHEN b.hit.pos = p.pos THEN b.hit.merged ELSE p.tok END, b.piece IS NOT NULL
-    FROM pair p LEFT JOIN best b ON b.piece = p.piece
-    WHERE b.piece IS NULL OR b.hit.next_pos <> p.pos))
+      SELECT a.place, a.tok,
+             CASE WHEN a.next_place >> 6 = a.place >> 6 THEN (m.merged::BIGINT << 12) | ((a.place & 63) << 6) | (a.next_place & 63) END AS rank
+      FROM (SELECT place, tok, lead(tok) OVER w AS next_tok, lead(place) OVER w AS next_place
+            FROM step WHERE live WINDOW w AS (ORDER BY place)) a
+      LEFT JOIN merges m ON m.pair = a.tok::BIGINT * 65536 + a.next_tok),
+    best AS (SELECT place >> 6 AS piece, min(rank) AS hit FROM pair GROUP BY 1)
+    SELECT p.place, CASE WHEN (b.hit >> 6) & 63 = p.place & 63 THEN (b.hit >> 12)::INTEGER ELSE p.tok END, b.hit IS NOT NULL
+    FROM pair p JOIN best b ON b.piece = p.place >> 6
+    WHERE b.hit IS NULL OR b.hit & 63 <> p.place & 63))
+SELECT (s.place >> 6)::INTEGER AS piece, list(s.tok ORDER BY s.place) AS ids, list(v.bytes ORDER BY s.place) AS parts
+FROM step s JOIN vocabulary v ON v.tok = s.tok WHERE NOT s.live GROUP BY 1
 """
 _LONG = """
 WITH RECURSIVE step(piece, pos, tok, live) AS (
@@ -55,7 +60,7 @@ WITH RECURSIVE step(piece, pos, tok, live) AS (
       SELECT a.piece, a.pos, a.tok, a.next_pos, a.nth, m.merged
       FROM (SELECT piece, pos, tok, lead(tok) OVER w AS next_tok, lead(pos) OVER w AS next_pos, row_number() OVER w AS nth
             FROM step WHERE live WINDOW w AS (PARTITION BY piece ORDER BY pos)) a
-      LEFT JOIN merges m ON m.left_tok = a.tok AND m.right_tok = a.next_tok),
+      LEFT JOIN merges m ON m.pair = a.tok::BIGINT * 65536 + a.next_tok),
     lowest AS (SELECT piece, min(merged) AS merged FROM pair WHERE merged IS NOT NULL GROUP BY piece),
     hit AS (
       SELECT p.piece, p.pos, p.next_pos, p.nth, p.merged,
@@ -70,8 +75,6 @@ WITH RECURSIVE step(piece, pos, tok, live) AS (
     LEFT JOIN taken u ON u.piece = p.piece AND u.next_pos = p.pos
     LEFT JOIN lowest l ON l.piece = p.piece
     WHERE u.piece IS NULL))
-"""
-_ORDERED = """
 SELECT s.piece, list(s.tok ORDER BY s.pos) AS ids, list(v.bytes ORDER BY s.pos) AS parts
 FROM step s JOIN vocabulary v ON v.tok = s.tok WHERE NOT s.live GROUP BY s.piece
 """
@@ -94,15 +97,15 @@ class Engine:
         self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in ranks_file.splitlines() if x)}
         self.single = [self.ranks[bytes([i])] for i in range(256)]
         merges = [
-            (self.ranks[token[:cut]], self.ranks[token[cut:]], rank)
+            ((self.ranks[token[:cut]] << 16) + self.ranks[token[cut:]], rank)
             for token, rank in self.ranks.items()
             for cut in range(1, len(token))
             if token[:cut] in self.ranks and token[cut:] in self.ranks
         ]
-        left, right, merged = zip(*merges, strict=True) if merges else ((), (), ())
+        pair, merged = zip(*merges, strict=True) if merges else ((), ())
         ints = pa.int32()
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
-        self.db.register("m", pa.table({"left_tok": pa.array(left, ints), "right_tok": pa.array(right, ints), "merged": pa.array(merged, ints)}))
+        self.db.register("m", pa.table({"pair": pa.array(pair, pa.int64()), "merged": pa.array(merged, ints)}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
         self.db.register("v", pa.table({"tok": pa.array(self.ranks.values(), ints), "bytes": pa.array(self.ranks.keys(), pa.binary())}))
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM v")
@@ -140,7 +143,7 @@ class Engine:
                 "tok": np.array(self.single, np.int32)[joined],
             }),
         )
-        for piece, ids, parts in self.db.execute(query + _ORDERED).fetchall():
+        for piece, ids, parts in self.db.execute(query).fetchall():
             out[piece] = (ids, b"".join(parts))
 
     def known(self, pieces: set[str]) -> dict[str, tuple[str, bytes]]:
@@ -198,6 +201,18 @@ def engine(ranks_file: bytes, pattern: str) -> Engine:
     return _engines[key]
 
 
+def _gathered(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, small ones together."""
+    held: list[pa.RecordBatch] = []
+    for batch in given:
+        held.append(batch)
+        if sum(x.nbytes for x in held) >= GATHERED_BYTES:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def encode_documents(documents: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """id, ids array<int> (if wanted), n_tokens, and SHA-256 of the ids as text and of the bytes they decode to.
 
@@ -211,7 +226,7 @@ def encode_documents(documents: DataFrame, ranks_path: str, pattern: str, id_col
 
     def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = engine(ranks_file, pattern)
-        for batch in given:
+        for batch in _gathered(given):
             ids, counts, digests, decoded = [], [], [], []
             for text, plain in own.encode(batch.column("text").to_pylist()):
                 if with_ids:

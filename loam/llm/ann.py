@@ -87,9 +87,11 @@ def fit(sample: np.ndarray, cells: int, recall: float = RECALL) -> Router:
     cells = max(1, min(cells, n // 8))
     if cells < 2:
         return Router(np.zeros((sample.shape[1], 1)), np.zeros(1), 1)
-    scores = sample @ sample.T
-    np.fill_diagonal(scores, -np.inf)
-    near = np.argsort(-scores, axis=1, kind="stable")[:, : min(K, n - 1)]
+    near = np.empty((n, min(K, n - 1)), np.int64)
+    for at in range(0, n, 512):
+        scores = sample[at : at + 512] @ sample.T
+        scores[np.arange(len(scores)), np.arange(at, at + len(scores))] = -np.inf
+        near[at : at + 512] = np.argsort(-scores, axis=1, kind="stable")[:, : near.shape[1]]
     cell = partition_graph(near[:, :NEIGHBOURS], cells)
     scale = np.linalg.norm(sample, axis=1, keepdims=True)
     x, gold = sample / np.where(scale > 0, scale, 1), np.eye(cells)[cell]

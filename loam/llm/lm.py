@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from loam.llm._common import id_mod, prepare, settle
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 DEPTH = 3
 PREVALENCE = 3e-4
 WORD_PREVALENCE = 1e-3

@@ -11,6 +11,7 @@ SAMPLE_LINES lines are passed over), whose lines all carry the document's label.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ from loam.llm._common import id_mod, prepare
 
 SAMPLE_ROWS = 4000
 SAMPLE_LINES = 300
-BINS = 8
+BINS = 15
 ROUNDS = 160
 HELD_OUT = (5, 0)
 THRESHOLD = 0.3
@@ -33,7 +34,7 @@ for _kind, _bytes in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNO
     _CLASSES[list(_bytes)] = _kind
 _CLASSES[128:] = 8
 KINDS = 9
-FEATURES = KINDS + 5
+FEATURES = KINDS + 6
 
 
 def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,6 +59,7 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
             out[k, KINDS + 2] = len(set(words)) / n
             out[k, KINDS + 3] = np.log1p(n)
             out[k, KINDS + 4] = words[-1][-1:] in (b".", b"?", b"!", b'"')
+            out[k, KINDS + 5] = sum(map(operator.eq, words, words[1:])) / n
     return out, lengths, counts
 
 
@@ -130,11 +132,10 @@ def train(features: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> Model
     if len(set(labels.tolist())) < 2:
         bias = 0.0 if not len(labels) else 6.0 if labels[0] else -6.0
         return Model(np.zeros(shape), np.zeros((3, FEATURES, BINS)), bias, np.zeros((2, 2)))
-    edges = np.quantile(features, np.arange(1, BINS) / BINS, axis=0).T
-    for k in range(FEATURES):  # few different values: bins between them, evenly
-        values = np.unique(features[:, k])
-        if len(np.unique(edges[k])) < (BINS - 1) / 2 and len(values) > 1:
-            edges[k] = np.linspace(values[0], values[-1], BINS + 1)[1:-1]
+    low, high, steps = features.min(0), features.max(0), np.arange(1, BINS // 2 + 1)
+    by_rank = np.quantile(features, steps / (BINS // 2 + 1), axis=0)
+    by_range = low + (high - low) * (steps / (BINS // 2 + 1))[:, None]
+    edges = np.sort(np.concatenate([by_rank, by_range]), axis=0).T[:, : BINS - 1]  # half by rank, half by range
     model = Model(edges, np.zeros((3, FEATURES, BINS)), 0.0, np.zeros((2, 2)))
     bins, (first, last) = model.bins(features), _ends(counts)
     gold = np.repeat(labels, counts).astype(float)

@@ -10,6 +10,9 @@ from loam.llm import bpe, langid, linededup, mixing, simhash
 from loam.llm._common import settle, table
 from loam.llm.queries import RANKS
 
+#: The encoder's memory, less than its default: the other stages' models are still in the same workers.
+CACHED, GATHERED = 90_000, 1 << 20
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text has a language; null texts and texts without letters go."""
@@ -37,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens and digests of each row's ids and of what they decode to."""
-    return bpe.encode_documents(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return bpe.encode_documents(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, cached=CACHED, gathered=GATHERED)
 
 
 STAGES = [

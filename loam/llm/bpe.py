@@ -93,7 +93,7 @@ class Engine:
         import duckdb
         import regex
 
-        self.find = regex.compile(pattern).findall
+        self.find, self.cached = regex.compile(pattern).findall, CACHE_PIECES
         self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in ranks_file.splitlines() if x)}
         self.single = [self.ranks[bytes([i])] for i in range(256)]
         merges = [
@@ -148,7 +148,7 @@ class Engine:
 
     def known(self, pieces: set[str]) -> dict[str, tuple[str, bytes]]:
         """Ids as text and decoded bytes of all the pieces; the caches keep those met lately."""
-        if len(self.young) > CACHE_PIECES:
+        if len(self.young) > self.cached:
             self.old, self.young = self.young, {}
         new = []
         for piece in pieces:
@@ -201,22 +201,23 @@ def engine(ranks_file: bytes, pattern: str) -> Engine:
     return _engines[key]
 
 
-def _gathered(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gathered(given: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """The batches, small ones together."""
     held: list[pa.RecordBatch] = []
     for batch in given:
         held.append(batch)
-        if sum(x.nbytes for x in held) >= GATHERED_BYTES:
+        if sum(x.nbytes for x in held) >= size:
             yield pa.concat_batches(held)
             held = []
     if held:
         yield pa.concat_batches(held)
 
 
-def encode_documents(documents: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def encode_documents(documents: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, cached: int = CACHE_PIECES, gathered: int = GATHERED_BYTES) -> DataFrame:
     """id, ids array<int> (if wanted), n_tokens, and SHA-256 of the ids as text and of the bytes they decode to.
 
-    Null text: as empty. Empty text: no ids. One output row for each input row, whatever the id.
+    Null text: as empty. Empty text: no ids. One output row for each input row, whatever the id. `cached` pieces (twice
+    that at most) and `gathered` bytes of text bound a worker's memory: less of either costs time, never results.
     """
     prepare(documents.sparkSession)
     ranks_file = read_ranks(ranks_path)
@@ -226,7 +227,8 @@ def encode_documents(documents: DataFrame, ranks_path: str, pattern: str, id_col
 
     def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = engine(ranks_file, pattern)
-        for batch in _gathered(given):
+        own.cached = cached
+        for batch in _gathered(given, gathered):
             ids, counts, digests, decoded = [], [], [], []
             for text, plain in own.encode(batch.column("text").to_pylist()):
                 if with_ids:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from loam.plans.expr import Expr, parse
 from loam.plans.query import Query
-from loam.plans.types import ConcurrentModification, LoamError, TableSpec, VersionExpired, literal
+from loam.plans.types import ConcurrentModification, LoamError, TableSpec, VersionExpired, constant, literal
 from loam.sources import files as files_
 from loam.sources.log import File, Log
 from loam.sources.store import store_for
@@ -162,7 +162,7 @@ class Table:
         if changes is None:
             kept = rows.where(~predicate)
         else:
-            new = {c: F.lit(v).cast(self.spec.type_of(c)) for c, v in changes.items()}
+            new = {c: constant(v, self.spec.type_of(c)) for c, v in changes.items()}
             kept = rows.select([F.when(predicate, new[f.name]).otherwise(F.col(f"`{f.name}`")).alias(f.name) if f.name in new else F.col(f"`{f.name}`") for f in self.spec.schema])
         added = files_.stage(kept, self.spec, self.store) if partly else []
         params = {"rows_affected": affected, "files_rewritten": len(touched)}

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.plans.expr import Constant, Expr, parse
-from loam.plans.types import UnsupportedExpression, literal
+from loam.plans.types import UnsupportedExpression, constant, literal
 
 if TYPE_CHECKING:
     from loam.operators.table import Table
@@ -80,7 +80,7 @@ class Query:
             kind = self.table.spec.type_of(name)
             if literal(values[k], kind) is None:
                 raise UnsupportedExpression("a page starts after values that aren't null")
-            column, value = F.col(f"`{name}`"), F.lit(literal(values[k], kind)).cast(kind)
+            column, value = F.col(f"`{name}`"), constant(literal(values[k], kind), kind)
             beyond = column > value if direction.startswith("asc") else column < value
             if not direction.endswith("first"):
                 beyond = beyond | column.isNull()

@@ -10,6 +10,8 @@ import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -144,6 +146,11 @@ def literal(value: object, kind: T.DataType) -> object:
     raise UnsupportedExpression(f"{value!r} is no {kind.simpleString()}")
 
 
+def constant(value: object, kind: T.DataType) -> Column:
+    """A value as a column of the type. Times go in as text, so that no machine's time zone touches them."""
+    return F.lit(value.isoformat(sep=" ") if isinstance(value, dt.datetime) else value).cast(kind)
+
+
 def encode(value: object) -> object:
     """A column value as JSON: numbers, text and booleans as such, others as text."""
     if isinstance(value, float) and not math.isfinite(value):

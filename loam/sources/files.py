@@ -55,11 +55,11 @@ def describe(df: DataFrame, spec: TableSpec, store: Store) -> list[tuple[str, Fi
 
     One aggregation that reads only the columns it needs; one row a file reaches the driver, which holds the manifest.
     """
-    parts = [F.min(F.col(f"`{c}`")).alias(f"p{i}") for i, c in enumerate(spec.partition_by)]
+    parts = [F.min(_value(c, spec)).alias(f"p{i}") for i, c in enumerate(spec.partition_by)]
     some = [F.count(F.col(f"`{c}`")).alias(f"k{i}") for i, c in enumerate(spec.partition_by)]
     stats = []
     for i, c in enumerate(spec.stats_columns):
-        column = F.col(f"`{c}`")
+        column = _value(c, spec)
         stats += [F.min(column).alias(f"a{i}"), F.max(column).alias(f"b{i}"), F.count(column).alias(f"n{i}")]
     rows = df.groupBy(_file_path().alias("path")).agg(F.count(F.lit(1)).alias("rows"), F.max("_metadata.file_size").alias("size"), *parts, *some, *stats).collect()
     out = []
@@ -77,6 +77,12 @@ def describe(df: DataFrame, spec: TableSpec, store: Store) -> list[tuple[str, Fi
     return out
 
 
+def _value(column: str, spec: TableSpec) -> Column:
+    """The column as the log keeps it: times without zone, in the session's."""
+    value = F.col(f"`{column}`")
+    return value.cast("timestamp_ntz") if isinstance(spec.schema[column].dataType, T.TimestampType) else value
+
+
 def _typed(text: str, kind: T.DataType) -> object:
     """A path's value as one of the column's type."""
     import datetime as dt

@@ -577,3 +577,25 @@ def test_types_roundtrip():
     for value, kind in ((NAN, T.DoubleType()), (DAY, T.DateType()), (dt.datetime(2026, 1, 1, 2, 3, 4, 5), T.TimestampNTZType()), (decimal.Decimal("1.50"), T.DecimalType(10, 2)), (True, T.BooleanType()), (None, T.StringType()), (2**60, T.LongType())):
         back = types.decode(types.encode(value), kind)
         assert back == value or str(back) == str(value)
+
+
+def test_zones_of_the_machine_do_not_matter(spark, tmp_path, monkeypatch):
+    """Times mean the same in rows, filters and statistics, whatever TZ says."""
+    schema = struct(id=LONG, at=TIME, zoned=T.TimestampType())
+    rows = spark.range(48).select("id", F.expr("timestamp_ntz'2026-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(id as int))").alias("at")).withColumn("zoned", F.col("at").cast("timestamp"))
+    monkeypatch.setenv("TZ", "America/New_York")
+    time.tzset()
+    try:
+        t = Table(spark, str(tmp_path), TableSpec("zones", schema, stats_columns=("at", "zoned")))
+        for part in (rows.where("id < 24"), rows.where("id >= 24")):
+            t.append(part)
+        noon = dt.datetime(2026, 1, 1, 12)
+        for column in ("at", "zoned"):
+            assert ids(t.query().filter(field(column) <= noon).df()) == list(range(13))
+            assert len(t.query().filter(field(column) <= noon).files()) == 1
+            assert ids(t.query().filter(field(column).one_of(noon, noon.replace(tzinfo=dt.UTC))).df()) == [12]
+        t.update_where(field("id") == 0, at=noon, zoned=noon)
+        assert t.read().where("id = 0 AND at = timestamp_ntz'2026-01-01 12:00:00' AND zoned = at").count() == 1
+    finally:
+        monkeypatch.undo()
+        time.tzset()

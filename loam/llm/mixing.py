@@ -58,7 +58,8 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     spark = prepare(documents.sparkSession)
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
-    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id"), 64 - HASH_BITS))
+    digest = F.md5(F.concat(F.lit("mix "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    rows = rows.withColumn("h", F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long"))
     rows = settle(rows, "sizes")
     total = sorted(((r["source"], r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
     aims = targets([n for _, n in total], [weights[k % len(weights)] for k in range(len(total))], share, most)

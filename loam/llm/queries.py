@@ -102,6 +102,31 @@ SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS
 FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id
 """
 
+_MIX = r"""
+WITH r AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    CAST('0x' || substr(md5('mix ' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS n, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w
+  FROM r GROUP BY source),
+-- the sources that reach twice their size first come first; budget and weight that are left when each one's turn comes
+o AS (
+  SELECT *, CAST(1.5 * sum(n) OVER () AS DOUBLE) - coalesce(sum(2 * n) OVER before, 0) AS budget,
+    sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS weight
+  FROM s WINDOW before AS (ORDER BY n / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (
+  SELECT *, budget * w > 2 * n * weight AS is_full, max(budget) FILTER (WHERE budget * w <= 2 * n * weight) OVER () AS rest,
+    max(weight) FILTER (WHERE budget * w <= 2 * n * weight) OVER () AS open FROM o),
+t AS (SELECT source, n, CAST(CASE WHEN is_full THEN 2 * n ELSE rest * w / open END AS DOUBLE) AS target FROM f),
+p AS (SELECT source, n, target, CASE WHEN n > 0 THEN least(CAST(floor(target / n) AS BIGINT), 2) ELSE 0 END AS whole FROM t),
+g AS (
+  SELECT source, h, sum(size) AS words, coalesce(sum(sum(size)) OVER (PARTITION BY source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM r GROUP BY source, h)
+SELECT doc_id, size, n AS source_size, target, CAST(whole * size + CASE WHEN before + words <= target - whole * n THEN size
+  WHEN before <= target - whole * n AND words > 0 THEN least(size, floor((target - whole * n - before) / words * size + 1e-6)) ELSE 0 END AS BIGINT) AS taken
+FROM r JOIN p ON r.source IS NOT DISTINCT FROM p.source JOIN g ON g.source IS NOT DISTINCT FROM r.source AND g.h = r.h
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_topk": _TOPK, "op7_chat_format": _CHAT, "op8_line_dedup": _LINES}
+    return {"op5_exact_topk": _TOPK, "op6_mix_sources": _MIX, "op7_chat_format": _CHAT, "op8_line_dedup": _LINES}

@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import public_tokenizers
 import pytest
 import tiktoken
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from loam.llm import bpe, chat, langid, linededup, lm, mixing, quality, simhash
 from loam.llm._common import table
 from loam.llm.components import components
-from loam.llm.queries import RANKS
+from loam.llm.queries import RANKS, oracle_sql
 
 PATH, PATTERN = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -210,6 +211,14 @@ def test_mixing_ties_and_empty(spark):
     assert [r["taken"] for r in mixing.mix(frame(spark, [(1, None, "en", "a"), (2, "", "en", None)])).collect()] == [0, 0]
 
 
+def test_mixing_awkward_as_in_sql(spark):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", [(r[0], r[1], r[3]) for r in AWKWARD])
+    expected = Counter(con.execute(oracle_sql()["op6_mix_sources"]).fetchall())
+    assert Counter(map(tuple, mixing.mix(frame(spark)).collect())) == expected
+
+
 def test_mixed_documents(spark, middle):
     docs = table(spark, middle, "documents")
     taken = {r["doc_id"]: (r["size"], r["taken"]) for r in mixing.mix(docs).collect()}

@@ -6,7 +6,8 @@ wins. Texts are folded (lower case; what is no letter becomes one separator) and
 many windows and all languages in step; a window's end ends a phrase in all languages alike.
 
 Fitting takes a bounded sample: SAMPLE_ROWS labelled documents of each language, chosen by a hash of their ids, and
-SAMPLE_SYMBOLS folded symbols of each language, the same share from every chosen document.
+SAMPLE_SYMBOLS folded symbols of each language, the same share from every chosen document. Of rows that repeat an id
+the first by folded text is taken, however many there are.
 """
 
 from __future__ import annotations
@@ -174,7 +175,7 @@ def fit(documents: DataFrame, learn: Column | None = None, id_col: str = "doc_id
     lang, key = F.col(lang_col), F.xxhash64(F.lit("langid"), F.col(id_col))
     rows = documents.where(lang.isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (F.lit(True) if learn is None else learn))
     order = Window.partitionBy("lang_").orderBy("key_")
-    chosen = rows.select(lang.alias("lang_"), key.alias("key_")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLE_ROWS).select("key_")
+    chosen = rows.select(lang.alias("lang_"), key.alias("key_")).distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLE_ROWS).select("key_")
     chosen = [r["key_"] for r in chosen.collect()]  # at most SAMPLE_ROWS a language
     keyed = rows.select(lang.alias("lang_"), key.alias("key_"), F.col(text_col).alias("text_"))
     keys = documents.sparkSession.createDataFrame([(k,) for k in chosen], "key_ bigint")
@@ -185,12 +186,12 @@ def fit(documents: DataFrame, learn: Column | None = None, id_col: str = "doc_id
             texts = [fold(x)[: 4 * SAMPLE_SYMBOLS] for x in batch.column("text_").to_pylist()]
             yield pa.RecordBatch.from_pydict({"lang_": batch.column("lang_"), "key_": batch.column("key_"), "text_": pa.array(texts, pa.string())})
 
+    once = keyed.mapInArrow(folded, "lang_ string, key_ bigint, text_ string").groupBy("lang_", "key_").agg(F.min("text_").alias("text_"))
     by_lang: dict[str, dict[int, str]] = {}
-    for r in keyed.mapInArrow(folded, "lang_ string, key_ bigint, text_ string").collect():
-        mine = by_lang.setdefault(r["lang_"], {})
-        mine[r["key_"]] = min(mine.get(r["key_"], r["text_"]), r["text_"])
+    for r in once.collect():
+        by_lang.setdefault(r["lang_"], {})[r["key_"]] = r["text_"]
     samples = {}
-    for name, texts in by_lang.items():
+    for name, texts in sorted(by_lang.items()):
         ordered = [texts[k] for k in sorted(texts) if texts[k]]
         share, left = 0, SAMPLE_SYMBOLS
         for n, length in enumerate(sorted(map(len, ordered))):  # the most symbols a document can give so that all fit

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -320,6 +321,17 @@ def test_quality_awkward(spark):
     assert quality.predict_quality(frame(spark, []), labels).count() == 0
 
 
+def test_repeats_of_a_row_do_not_change_what_is_learned(spark):
+    good, bad = "A whole sentence of words. " * 3, "!!! ### 000 " * 5
+    rows = [(k, good if k % 2 else bad, "en" if k % 2 else "de", "a") for k in range(20)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(20)], "doc_id bigint, quality int, toxic int")
+    many = rows + rows[3:4] * 500
+    assert pickle.loads(langid.fit(frame(spark, rows))) == pickle.loads(langid.fit(frame(spark, many)))
+    once, again = (quality.fit(frame(spark, x, False), labels) for x in (rows, many))
+    assert all((getattr(once, n) == getattr(again, n)).all() for n in ("edges", "weights", "moves"))
+    assert once.bias == again.bias
+
+
 def test_chain_against_enumeration():
     import itertools
 

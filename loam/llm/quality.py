@@ -6,7 +6,8 @@ of being good, and a document's score is their mean, weighted by the lines' leng
 are empty; an empty or null text is one empty line).
 
 Fitting takes a bounded sample: SAMPLE_ROWS labelled documents chosen by a hash of their ids (those of over
-SAMPLE_LINES lines are passed over), whose lines all carry the document's label. Scoring reads whole texts.
+SAMPLE_LINES lines are passed over; rows that repeat an id count once), whose lines all carry the document's label.
+Scoring reads whole texts.
 """
 
 from __future__ import annotations
@@ -187,8 +188,9 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column | None = None) ->
             ids, marks, features = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "quality": pa.array(marks, pa.int32()), "features": pa.array(features, pa.binary())})
 
-    found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "quality").mapInArrow(batches, "doc_id bigint, quality int, features binary").collect()
-    found = sorted(found, key=lambda r: (r["doc_id"], bytes(r["features"])))
+    found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "quality").mapInArrow(batches, "doc_id bigint, quality int, features binary")
+    found = found.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("features").alias("features"))
+    found = sorted(found.collect(), key=lambda r: r["doc_id"])
     each = [np.frombuffer(r["features"], np.float32).reshape(-1, FEATURES) for r in found]
     features = np.concatenate(each) if each else np.zeros((0, FEATURES), np.float32)
     return train(features, np.array([len(x) for x in each], np.int64), np.array([r["quality"] for r in found], np.int64))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loam.llm import bpe, langid, linededup, mixing, simhash
@@ -26,10 +26,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest doc_id. Rows without an id stay."""
+    """One document of each group of near-duplicates: that of the smallest doc_id. Rows without an id stay.
+
+    Rows that repeat an id are one document: the one whose text's hash is smallest stays.
+    """
     found = simhash.near_duplicates(docs)
     kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64("source", "lang")))
+    rows = docs.join(kept, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"), nth.alias("nth")).where("nth = 1").select("row.*")
+    return rows.union(docs.where("doc_id IS NULL"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,6 +62,14 @@ def test_near_dedup(stages):
     assert set(got) <= set(given)
 
 
+def test_near_dedup_of_a_repeated_id(spark):
+    texts = ["one text of a few words", "quite another text, and longer than that", "a third one that says yet something else"]
+    given = spark.createDataFrame([(1, t, "en", "a", len(t)) for t in texts], DOCS)
+    first, again = (corpus_pipeline.near_dedup(spark, x, "").collect() for x in (given, given.orderBy(F.desc("text")).repartition(3)))
+    assert len(first) == 1
+    assert first == again
+
+
 def test_mix(stages):
     given, got = rows(stages[3]), rows(stages[4])
     names = sorted({r[2] for r in given}, key=lambda s: (s is None, s or ""))

@@ -26,6 +26,8 @@ from loam.llm._common import id_mod, prepare
 
 SAMPLE_ROWS = 120
 SAMPLE_SYMBOLS = 24_000
+#: Groups that a language's ids are dealt into when the sample is chosen.
+PARTS = 16
 #: Letters that the automata tell apart; rarer ones share one symbol.
 ALPHABET = 200
 WINDOW = 512
@@ -174,9 +176,11 @@ def fit(documents: DataFrame, learn: Column | None = None, id_col: str = "doc_id
     """The folded sample of each language, from rows with a language and, if given, `learn`."""
     lang, key = F.col(lang_col), F.xxhash64(F.lit("langid"), F.col(id_col))
     rows = documents.where(lang.isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (F.lit(True) if learn is None else learn))
-    order = Window.partitionBy("lang_").orderBy("key_")
-    chosen = rows.select(lang.alias("lang_"), key.alias("key_")).distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLE_ROWS).select("key_")
-    chosen = [r["key_"] for r in chosen.collect()]  # at most SAMPLE_ROWS a language
+    chosen = rows.select(lang.alias("lang_"), key.alias("key_")).distinct().withColumn("part_", F.spark_partition_id() % PARTS)
+    for group in (["lang_", "part_"], ["lang_"]):  # a language of any size comes down to PARTS * SAMPLE_ROWS before it is one group
+        nth = F.row_number().over(Window.partitionBy(*group).orderBy("key_"))
+        chosen = chosen.withColumn("nth", nth).where(F.col("nth") <= SAMPLE_ROWS)
+    chosen = [r["key_"] for r in chosen.select("key_").collect()]  # at most SAMPLE_ROWS a language
     keyed = rows.select(lang.alias("lang_"), key.alias("key_"), F.col(text_col).alias("text_"))
     keys = documents.sparkSession.createDataFrame([(k,) for k in chosen], "key_ bigint")
     keyed = keyed.join(F.broadcast(keys.distinct()), "key_", "left_semi")

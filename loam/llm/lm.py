@@ -1,21 +1,26 @@
 """Language-model scoring by a probabilistic suffix tree over tokens.
 
 Texts are lower-cased in A-Z and cut into words `[^\\x20\\x09-\\x0D]+`; a text's tokens are its words and one end. The
-tree's symbols are classes of tokens: the end, each word with at least WORD_PREVALENCE of all tokens by itself, and
-the other words by what they end in (SIGNATURES classes). A token's probability is that of its class after the tokens
-before it, times the token's share of its class: (c + 1/2) over the class' sum of that and 1/2 for all unseen words.
-With no context this is the unigram base; what contexts tell (a language, a style, an end) comes on top.
+tree's symbols are classes of tokens: the end, each word that occurs WORD_COUNT times by itself, and the rarer words
+by what they end in (SIGNATURES classes). A token's probability is that of its class after the tokens before it, times
+the token's share of its class: (c + 1/2) over the class' sum of that and 1/2 for all unseen words. With no context
+this is the unigram base; what contexts tell (a language, a style, a phrase, an end) comes on top.
 
 1. Texts are gathered in blocks of about BLOCK_BYTES. A block keeps its distinct words once, with how often its
    training texts have them, and each text as numbers of those words (written to the shared folder, not shuffled).
 2. Words and counts of all blocks are summed: the corpus' word counts, which give the base, classes and shares. They
    go back to the blocks that hold the word, and each block is written again as classes.
-3. The tree grows a level at a time from all training texts: a context of n classes is counted where the shorter one
-   has PREVALENCE of all tokens, so a level has at most 1/PREVALENCE contexts, however large the corpus. A context
-   stays if its next classes differ from the shorter context's by the divergence test (count times Kullback-Leibler
-   divergence over DIVERGENCE nats for each class seen next), or if a longer one stays. Distributions are smoothed
-   towards the shorter context's by as many pseudo-counts as classes were seen next.
-4. Each token is scored from the state of the longest suffix that the tree holds.
+3. The tree grows a level at a time, as a table keyed by context and next class: blocks give their distinct pairs,
+   Spark sums them, decides contexts and joins the outcome back to the blocks that hold the pair. A context needs
+   CONTEXT_COUNT occurrences, and counts where its next classes differ from the shorter context's by the divergence
+   test (count times Kullback-Leibler divergence over DIVERGENCE nats for each class seen next). Distributions are
+   smoothed towards the shorter context's by as many pseudo-counts as classes were seen next.
+4. A context is made longer unless only one class follows it (no longer one can pass then, at DIVERGENCE 1 or more),
+   or more than LOOKAHEAD contexts in succession failed the test. There is no greatest length.
+5. A token is scored by its longest context that passes the test, while its block goes through the levels.
+
+Both counts are absolute, so words and contexts grow with the corpus (in one too small for them, the share
+WORD_PREVALENCE or PREVALENCE of all tokens is enough). Contexts and words beyond the rare are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -24,22 +29,25 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm._common import id_mod, prepare, settle
 
 BLOCK_BYTES = 16 << 20
-DEPTH = 3
+CONTEXT_COUNT = 30
 PREVALENCE = 3e-4
+WORD_COUNT = 100
 WORD_PREVALENCE = 1e-3
+LOOKAHEAD = 2
 SIGNATURES = 254
 DIVERGENCE = 1.0
 HELD_OUT = (5, 1)
-#: Classes: the end of a text, what stands before its first word, then frequent words, then signatures.
+#: Classes: the end of a text, what stands before its first word, then signatures; other words by their hash.
 END, BEGIN, FIRST = 0, 1, 2
 
 _FOLD = bytes(32 if x == 32 or 9 <= x <= 13 else x + 32 if 65 <= x <= 90 else x for x in range(256))
@@ -136,75 +144,151 @@ def _contexts(classes: np.ndarray, lengths: np.ndarray, depth: int) -> np.ndarra
     return out
 
 
-def _counts(coded: DataFrame, tree: Tree, level: int, width: int, least: float) -> pa.Table:
-    """key (state * width + class before) * width + next class, and n, for contexts of `level` classes over `least`."""
-    length = tree.levels()
+_STATE = "block bigint, score array<double>, docs array<int>, held array<boolean>, lengths array<int>, classes binary, symbols binary, live binary, p binary, best binary, hash binary, lag binary, inverse binary, context array<bigint>, next array<bigint>, n array<bigint>, lower array<double>"
+_KINDS = {"classes": "<i4", "symbols": "<i8", "live": "<i4", "p": "<f8", "best": "<f8", "hash": "<i8", "lag": "i1", "inverse": "<i4"}
+_LISTS = {"score": pa.float64(), "docs": pa.int32(), "held": pa.bool_(), "lengths": pa.int32(), "context": pa.int64(), "next": pa.int64(), "n": pa.int64(), "lower": pa.float64()}
+
+
+def least_count(count: int, share: float, tokens: int) -> float:
+    """`count`, or in a small corpus the share of its tokens, two at least."""
+    return max(2.0, min(count, share * tokens))
+
+
+def _mixed(state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """The hash of a context made longer by a symbol."""
+    x = state.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + symbol.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return (x ^ (x >> np.uint64(31))).astype(np.int64)
+
+
+def _started(held: np.ndarray, lengths: np.ndarray, classes: np.ndarray, symbols: np.ndarray, root: np.ndarray) -> dict:
+    """A block before the first level: all tokens have the empty context; root: the chance of each symbol."""
+    p = root[classes]
+    zero = np.zeros(len(classes), np.int64)
+    return {"score": np.zeros(len(lengths)), "docs": np.arange(len(lengths)), "held": held, "lengths": lengths, "classes": classes, "symbols": symbols, "live": np.arange(len(classes)), "p": p, "best": p, "hash": zero, "lag": zero}
+
+
+def _longer(s: dict, more: np.ndarray, level: int) -> dict:
+    """A block whose tokens go on to contexts of `level` classes where `more`; the others' scores are added up."""
+    lengths = s["lengths"].astype(np.int64)
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    more = more & (place[s["live"]] >= level - 1)
+    score = s["score"].copy()
+    np.add.at(score, s["docs"][doc[s["live"][~more]]], np.log10(s["best"][~more]))
+    live, p, best, lag = (s[k][more] for k in ("live", "p", "best", "lag"))
+    before = np.where(place[live] >= level, s["symbols"][s["classes"][np.maximum(live - level, 0)]], BEGIN)
+    state, after = _mixed(s["hash"][more], before), s["symbols"][s["classes"][live]]
+    _, first, inverse = np.unique(_mixed(state, after), return_index=True, return_inverse=True)
+    n = np.bincount(inverse, weights=~s["held"][doc[live]], minlength=len(first)).astype(np.int64)
+    stay = np.zeros(len(lengths), bool)  # texts that are done go
+    stay[doc[live]] = True
+    tokens = stay[doc] if len(doc) else np.zeros(0, bool)
+    moved = np.cumsum(tokens) - 1
+    return {
+        "score": score, "docs": s["docs"][stay], "held": s["held"][stay], "lengths": lengths[stay], "classes": s["classes"][tokens], "symbols": s["symbols"], "live": moved[live] if len(live) else live,
+        "p": p, "best": best, "hash": state, "lag": lag, "inverse": inverse, "context": state[first], "next": after[first], "n": n, "lower": p[first],
+    }
+
+
+def _packed(block: int, s: dict) -> pa.Table:
+    columns = {"block": pa.array([block], pa.int64())}
+    columns |= {k: pa.array([s[k].astype(t).tobytes()], pa.binary()) for k, t in _KINDS.items()}
+    columns |= {k: pa.array([s[k]], pa.list_(t)) for k, t in _LISTS.items()}
+    return pa.table({c.split()[0]: columns[c.split()[0]] for c in _STATE.split(", ")})
+
+
+def _level(state: DataFrame, least: float, divergence: float) -> tuple[DataFrame, DataFrame]:
+    """The blocks' pairs of context and next class (of, nth, context, next), and the decided: context, next, n, chance, passed, open."""
+    listed = state.select(F.col("block").alias("of"), F.posexplode(F.arrays_zip("context", "next", "n", "lower")).alias("nth", "at")).select("of", "nth", "at.*")
+    pairs = listed.groupBy("context", "next").agg(F.sum("n").alias("n"), F.max("lower").alias("lower"))
+    told = F.sum(F.col("n") * (F.log("n") - F.log("lower")))
+    contexts = pairs.where("n > 0").groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), told.alias("told")).where(F.col("total") >= least)
+    passed = F.col("told") - F.col("total") * F.log("total") > divergence * F.col("kinds")
+    chance = (F.col("n") + F.col("kinds") * F.col("lower")) / (F.col("total") + F.col("kinds"))
+    decided = pairs.join(contexts, "context").select("context", "next", "n", chance.alias("chance"), passed.alias("passed"), (F.col("kinds") > 1).alias("open"), "total", "kinds")
+    return listed.select("of", "nth", "context", "next"), decided
+
+
+def _advanced(state: DataFrame, listed: DataFrame, decided: DataFrame, level: int, lookahead: int) -> DataFrame:
+    """The blocks with contexts of `level` classes, from what was decided of the shorter ones."""
+
+    def go_on(_: tuple, block: pa.Table, given: pa.Table) -> pa.Table:
+        out = []
+        for row in range(block.num_rows):
+            s = {k: np.frombuffer(block[k][row].as_py(), t) for k, t in _KINDS.items()}
+            s |= {k: block[k][row].values.to_numpy(zero_copy_only=False) for k in ("score", "docs", "held", "lengths")}
+            size = block["size"][row].as_py()
+            chance, passed, opened = np.full(size, np.nan), np.zeros(size, bool), np.zeros(size, bool)
+            nth = given["nth"].to_numpy()
+            chance[nth] = given["chance"].to_numpy()
+            passed[nth], opened[nth] = given["passed"].to_numpy(), given["open"].to_numpy()
+            at = s["inverse"]
+            s["p"] = chance[at]
+            s["best"] = np.where(passed[at], chance[at], s["best"])
+            s["lag"] = np.where(passed[at], 0, np.minimum(s["lag"].astype(np.int64) + 1, 100))
+            out.append(_packed(block["block"][row].as_py(), _longer(s, opened[at] & (s["lag"] <= lookahead), level)))
+        return pa.concat_tables(out)
 
-    def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = listed.join(decided, ["context", "next"]).select("of", "nth", "chance", "passed", "open")
+    kept = state.select("block", "score", "docs", "held", "lengths", *_KINDS, F.size("context").alias("size"))
+    return kept.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(go_on, _STATE)
+
+
+def levels(state: DataFrame, least: float, divergence: float = DIVERGENCE, lookahead: int = LOOKAHEAD) -> Iterator[tuple[DataFrame, DataFrame | None]]:
+    """The blocks and what was decided of their contexts, level by level; last the blocks of which no token goes on."""
+    level = 1
+    while state.select(F.max(F.size("context"))).first()[0]:
+        listed, decided = _level(state, least, divergence)
+        yield state, decided
+        level += 1
+        state = settle(_advanced(state, listed, decided, level, lookahead), "level")
+    yield state, None
+
+
+def grow(coded: DataFrame, mass: np.ndarray, tokens: int, depth: int = 3, prevalence: float = PREVALENCE, divergence: float = DIVERGENCE) -> Tree:
+    """The contexts of up to `depth` classes that pass and those they extend, in memory: to look into small models. coded: classes, lengths, held."""
+    width, root = len(mass), mass / mass.sum()
+
+    def start(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in given:
             for row in range(batch.num_rows):
-                classes, lengths = _learned(batch, row)
-                if not len(classes):
-                    continue
-                before = _contexts(classes, lengths, level)
-                state = tree.states(before, level - 1) if level > 1 else np.zeros(len(classes), np.int32)
-                # only contexts whose shorter form is a state of level - 1 can go on
-                fine = (before[:, level - 1] >= 0) & (length[state] == level - 1)
-                key = (state[fine].astype(np.int64) * width + before[fine, level - 1]) * width + classes[fine]
-                keys, n = np.unique(key, return_counts=True)
-                yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "n": pa.array(n, pa.int64())})
-
-    summed = coded.select("classes", "lengths", "held").mapInArrow(batches, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    context = F.expr(f"key div {width}")
-    summed = summed.withColumn("total", F.sum("n").over(Window.partitionBy(context)))
-    return summed.where(F.col("total") >= least).select("key", "n").toArrow()
-
-
-def _learned(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
-    """Classes and lengths of a block's training texts."""
-    classes = np.frombuffer(batch.column("classes")[row].as_py(), "<i2").astype(np.int32)
-    lengths = batch.column("lengths")[row].values.to_numpy()
-    held = batch.column("held")[row].values.to_numpy(zero_copy_only=False)
-    return classes[~np.repeat(held, lengths)], lengths[~held].astype(np.int64)
-
-
-def grow(coded: DataFrame, mass: np.ndarray, tokens: int, depth: int = DEPTH, prevalence: float = PREVALENCE, divergence: float = DIVERGENCE) -> Tree:
-    """The tree of coded blocks (classes, lengths, held); mass: the root's weight of each class."""
-    width, least = len(mass), max(2.0, prevalence * tokens)
-    tree = Tree(np.full((1, width), -1, np.int32), (mass / mass.sum())[None, :])
-    gain, above = [np.inf], [-1]
-    for level in range(1, depth + 1):
-        counts = _counts(coded, tree, level, width, least)
-        key, n = counts["key"].to_numpy(), counts["n"].to_numpy()
-        if not len(key):
-            break
-        order = np.argsort(key)
-        key, n = key[order], n[order]
-        context, first, row = np.unique(key // width, return_index=True, return_inverse=True)
-        total, kinds = np.add.reduceat(n, first), np.diff(np.append(first, len(key)))
-        parent = context // width
-        lower = tree.chance[parent]
-        seen = np.zeros((len(context), width))
-        seen[row, key % width] = n
-        chance = (seen + kinds[:, None] * lower) / (total + kinds)[:, None]
-        share = n / total[row]
-        told = np.add.reduceat(n * np.log(share / lower[row, key % width]), first)
-        base = len(tree.moves)
-        moves = np.vstack([tree.moves, np.full((len(context), width), -1, np.int32)])
-        moves[parent, context % width] = base + np.arange(len(context))
-        tree = Tree(moves, np.vstack([tree.chance, chance]))
-        gain += (told - divergence * kinds).tolist()
-        above += parent.tolist()
-    kept = np.array(gain) > 0
-    for state in range(len(kept) - 1, 0, -1):  # longer contexts come last, and keep what they extend
-        kept[above[state]] |= kept[state]
-    number = np.cumsum(kept) - 1
-    moves = tree.moves[kept]
-    moves = np.where((moves >= 0) & kept[moves], number[moves], -1).astype(np.int32)
-    return Tree(moves, tree.chance[kept])
-
-
-_CODED = "doc_ids array<bigint>, held array<boolean>, lengths array<int>, classes binary, known array<bigint>, base array<double>, inner array<double>"
+                classes = np.frombuffer(batch.column("classes")[row].as_py(), "<i2").astype(np.int64)
+                lengths, held = (batch.column(k)[row].values.to_numpy(zero_copy_only=False) for k in ("lengths", "held"))
+                s = _started(held, lengths, classes, np.arange(width), root)
+                yield from _packed(0, _longer(s, np.ones(len(classes), bool), 1)).to_batches()
+
+    state = coded.select("classes", "lengths", "held").mapInArrow(start, _STATE).withColumn("block", F.monotonically_increasing_id())
+    known: dict[int, dict] = {}
+    for _, decided in islice(levels(settle(state, "level"), least_count(CONTEXT_COUNT, prevalence, tokens), divergence), depth):
+        for r in decided.collect() if decided is not None else []:
+            at = known.setdefault(r["context"], {"n": np.zeros(width), "passed": r["passed"]})
+            at["n"][r["next"]] = r["n"]
+    moves, chance = [], []
+
+    def add(state: int, lower: np.ndarray) -> int:
+        own = len(moves)
+        moves.append(np.full(width, -1, np.int32))
+        chance.append(lower)
+        stays = state == 0 or known[state]["passed"]
+        for symbol, to in enumerate(_mixed(np.full(width, state), np.arange(width)).tolist()):
+            if to in known:
+                n = known[to]["n"]
+                kinds = (n > 0).sum()
+                below = add(to, (n + kinds * lower) / (n.sum() + kinds))
+                moves[own][symbol] = below
+                stays |= below >= 0
+        if not stays:
+            del moves[own:], chance[own:]
+            return -1
+        return own
+
+    add(0, root)
+    return Tree(np.array(moves), np.array(chance))
+
+
+_CODED = _STATE + ", doc_ids array<bigint>, out array<boolean>, sizes array<int>, known array<bigint>, base array<double>, inner array<double>"
 
 
 def score_documents(documents: DataFrame, held_out: tuple[int, int] = HELD_OUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,39 +307,41 @@ def score_documents(documents: DataFrame, held_out: tuple[int, int] = HELD_OUT,
     counted = settle(listed.groupBy("word").agg(F.sum("n").alias("c")), "words")
     totals = counted.where("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     tokens, kinds = (totals["n"] or 0) + texts, totals["v"] + bool(texts)
-    # at most 1 / WORD_PREVALENCE words
-    frequent = sorted(bytes(r["word"]) for r in counted.where(F.col("c") >= max(2.0, WORD_PREVALENCE * tokens)).select("word").collect())
-    number = {w: FIRST + k for k, w in enumerate(frequent)}
-    width = FIRST + len(frequent) + SIGNATURES
+    own = F.col("c") >= least_count(WORD_COUNT, WORD_PREVALENCE, tokens)
 
-    def classed(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def signed(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in given:
-            found = [number.get(w, -1) for w in batch.column("word").to_pylist()]
-            found = [x if x >= 0 else FIRST + len(number) + signature(w) for x, w in zip(found, batch.column("word").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"word": batch.column("word"), "c": batch.column("c"), "class": pa.array(found, pa.int32())})
+            found = [FIRST + signature(w) for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"word": batch.column("word"), "c": batch.column("c"), "class": pa.array(found, pa.int64())})
 
-    words = counted.mapInArrow(classed, "word binary, c bigint, class int")
-    mass = np.full(width, 0.5)
-    for r in words.where("c > 0").groupBy("class").agg(F.sum(F.col("c") + 0.5).alias("m")).collect():
+    rare = counted.where(~own).mapInArrow(signed, "word binary, c bigint, class bigint")
+    mass = np.full(FIRST + SIGNATURES, 0.5)
+    for r in rare.where("c > 0").groupBy("class").agg(F.sum(F.col("c") + 0.5).alias("m")).collect():
         mass[r["class"]] += r["m"]
     mass[END], mass[BEGIN] = texts + 0.5, 1e-9  # nothing is followed by a beginning
+    whole = mass.sum() + (counted.where(own).agg(F.sum(F.col("c") + 0.5)).first()[0] or 0.0)
+    words = rare.union(counted.where(own).select("word", "c", F.xxhash64("word").alias("class")))
     floor = tokens + 0.5 * (kinds + 1)
     end_base = math.log10((texts + 0.5) / floor)
-    share = np.log10(mass)
 
     def coded(_: tuple, block: pa.Table, given: pa.Table) -> pa.Table:
         nth = given["nth"].to_numpy()
-        c, kind = np.zeros(len(nth), np.int64), np.zeros(len(nth), np.int32)
+        c, kind = np.zeros(len(nth), np.int64), np.zeros(len(nth), np.int64)
         c[nth], kind[nth] = given["c"].to_numpy(), given["class"].to_numpy()
         base = np.log10((c + 0.5) / floor)
-        inner = np.log10(c + 0.5) - share[kind]
+        symbols, local = np.unique(np.append(kind, END), return_inverse=True)
+        weight = np.zeros(len(symbols))
+        weight[local[:-1]] = c + 0.5
+        shared = (symbols >= 0) & (symbols < len(mass))
+        weight[shared] = mass[symbols[shared]]
+        inner = np.log10(c + 0.5) - np.log10(weight[local[:-1]])
         out = []
         for row in range(block.num_rows):
             numbers = np.frombuffer(block["tokens"][row].as_py(), "<i4")
             lengths = np.array(block["lengths"][row].as_py(), np.int64)
             stop = np.cumsum(lengths)
-            classes = np.full(len(numbers) + len(lengths), END, "<i2")
-            classes[np.arange(len(numbers)) + np.repeat(np.arange(len(lengths)), lengths)] = kind[numbers]
+            classes = np.full(len(numbers) + len(lengths), local[-1])
+            classes[np.arange(len(numbers)) + np.repeat(np.arange(len(lengths)), lengths)] = local[numbers]
 
             def total(values: np.ndarray, numbers: np.ndarray = numbers, lengths: np.ndarray = lengths, stop: np.ndarray = stop) -> list:
                 sums = np.zeros(len(lengths), values.dtype)
@@ -264,33 +350,26 @@ def score_documents(documents: DataFrame, held_out: tuple[int, int] = HELD_OUT,
                     sums[full] = np.add.reduceat(values[numbers], (stop - lengths)[full])
                 return sums
 
-            out.append(pa.table({
-                "doc_ids": block["doc_ids"].slice(row, 1), "held": block["held"].slice(row, 1),
-                "lengths": pa.array([lengths + 1], pa.list_(pa.int32())), "classes": pa.array([classes.tobytes()], pa.binary()),
+            held = block["held"][row].values.to_numpy(zero_copy_only=False)
+            s = _longer(_started(held, lengths + 1, classes, symbols, weight / whole), np.ones(len(classes), bool), 1)
+            extra = {
+                "doc_ids": block["doc_ids"].slice(row, 1), "out": block["held"].slice(row, 1), "sizes": pa.array([lengths + 1], pa.list_(pa.int32())),
                 "known": pa.array([total((c > 0).astype(np.int64)) + (texts > 0)], pa.list_(pa.int64())),
                 "base": pa.array([total(base) + end_base], pa.list_(pa.float64())), "inner": pa.array([total(inner)], pa.list_(pa.float64())),
-            }))
+            }
+            packed = _packed(block["block"][row].as_py(), s)
+            for k, v in extra.items():
+                packed = packed.append_column(k, v)
+            out.append(packed)
         return pa.concat_tables(out)
 
     found = listed.select("of", "nth", F.col("word").alias("listed")).join(words, F.col("listed") == F.col("word")).select("of", "nth", "c", "class")
     kept = blocks.select("block", "doc_ids", "held", "lengths", "tokens")
     codes = settle(kept.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(coded, _CODED), "coded")
-    tree = grow(codes, mass, tokens)
-    sent, depth = spark.sparkContext.broadcast((tree.moves, np.log10(tree.chance).astype(np.float32))), int(tree.levels().max())
-
-    def scored(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Tree(*sent.value)
-        for batch in given:
-            for row in range(batch.num_rows):
-                classes = np.frombuffer(batch.column("classes")[row].as_py(), "<i2").astype(np.int32)
-                lengths = batch.column("lengths")[row].values.to_numpy().astype(np.int64)
-                begin = np.cumsum(lengths) - lengths
-                before = _contexts(classes, lengths, depth)
-                chances = own.chance[own.states(before, depth), classes].astype(float)
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column("doc_ids")[row].values, "held_out": batch.column("held")[row].values, "n_tokens": pa.array(lengths, pa.int64()),
-                    "n_known": batch.column("known")[row].values, "train_tokens": pa.array(np.full(len(lengths), tokens), pa.int64()),
-                    "base_score": batch.column("base")[row].values, "score": pa.array(np.add.reduceat(chances, begin) + batch.column("inner")[row].values.to_numpy(), pa.float64()),
-                })
-
-    return codes.mapInArrow(scored, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    names = [c.split()[0] for c in _STATE.split(", ")]
+    for state, _ in levels(codes.select(*names), least_count(CONTEXT_COUNT, PREVALENCE, tokens)):
+        pass
+    texts_of = codes.select("block", F.arrays_zip("doc_ids", "out", "sizes", "known", "base", "inner").alias("text"))
+    scored = texts_of.join(state.select("block", "score"), "block").select(F.explode(F.arrays_zip("text", "score")).alias("x")).select("x.text.*", "x.score")
+    score = F.col("score") + F.col("inner")
+    return scored.select(F.col("doc_ids").alias("doc_id"), F.col("out").alias("held_out"), F.col("sizes").cast("long").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), score.alias("score"))

@@ -425,6 +425,17 @@ def test_tree(spark):
     assert before.tolist() == [[1, -1, -1], [3, 1, -1], [4, 3, 1], [1, -1, -1], [5, 1, -1]]
 
 
+def test_lm_contexts_grow_with_the_corpus(spark):
+    """Words and contexts too rare for a share of all tokens, and what only the fourth class before tells."""
+    ids = [k for k in range(3000) if crc(k, 5) != 1]
+    rows = [(k, f"x{n % 2} aa bb cc y{n % 2}", "en", "a") for n, k in enumerate(ids[:300])]
+    rows += [(k, "filler " * 2000, "en", "a") for k in ids[300:900]]
+    own, other = [k for k in range(3000) if crc(k, 5) == 1][:2]
+    rows += [(own, "x0 aa bb cc y0", "en", "a"), (other, "x0 aa bb cc y1", "en", "a")]
+    score = {r["doc_id"]: r["score"] for r in lm.score_documents(frame(spark, rows)).where("held_out").collect()}
+    assert score[own] > score[other] + 1
+
+
 def test_lm_empty(spark):
     assert lm.score_documents(frame(spark, [])).count() == 0
     only_held = next(k for k in range(100) if crc(k, 5) == 1)

@@ -45,8 +45,9 @@ def _joined(rows: DataFrame, plan: list[tuple], schema: str) -> DataFrame:
     return rows.join(F.broadcast(frame) if len(plan) <= BROADCAST_SOURCES else frame, rows["source"].eqNullSafe(frame["source_"]))
 
 
-def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: bool = False) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row: how many of its words the mix takes, repeats counted.
+    With `keep` also the whole input row as the struct `row`.
 
     Sources in code-point order, null last, get the weights in turn. A source's taken words are its target, less at
     most one word for each row on the threshold. Rows with the same id (null ids too) share a hash; where the
@@ -57,7 +58,7 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     """
     spark = prepare(documents.sparkSession)
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
-    rows = documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
+    rows = documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), *([F.struct("*").alias("row")] if keep else []))
     digest = F.md5(F.concat(F.lit("mix "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     rows = rows.withColumn("h", F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long"))
     rows = settle(rows, "sizes")
@@ -87,7 +88,7 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     decided = [(s, p["n"], p["aim"], p["whole"], p["at"], p["part"]) for s, p in plan.items()]
     out = _joined(rows, decided, "source_ string, source_size bigint, target double, whole bigint, at bigint, part double")
     more = F.when(F.col("h") < F.col("at"), F.col("size")).when(F.col("h") == F.col("at"), F.floor(F.col("part") * F.col("size") + 1e-6)).otherwise(F.lit(0))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.least(more, F.col("size"))).cast("long").alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.least(more, F.col("size"))).cast("long").alias("taken"), *(["row"] if keep else []))
 
 
 def _boundaries(rows: DataFrame, wanted: list[tuple], done: int) -> list:
@@ -104,12 +105,10 @@ def _boundaries(rows: DataFrame, wanted: list[tuple], done: int) -> list:
 def mixed_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows that the mix takes, once for each whole copy, and once with its first words for a copy in part.
 
-    Columns as given. Rows of which nothing is taken go. ids must tell documents apart; rows that repeat an id are
-    repeats of one document.
+    Columns as given. Rows of which nothing is taken go. Each row is cut by its own size, whatever other rows have its id.
     """
-    taken = mix(documents, id_col=id_col, text_col=text_col, **options).where("taken > 0").dropDuplicates(["doc_id"])
-    rows = documents.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.join(taken, F.col("id").eqNullSafe(F.col("doc_id")))
+    taken = mix(documents, id_col=id_col, text_col=text_col, keep=True, **options).where("taken > 0")
+    rows = taken.select("row", F.col("row").getField(text_col).alias("text"), "size", "taken")
     whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
     copies = F.concat(F.array_repeat(F.lit(0), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
     rows = rows.select("row", "text", F.explode(copies).alias("words"))

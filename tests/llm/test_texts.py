@@ -233,6 +233,18 @@ def test_mixed_documents(spark, middle):
     assert got == {d: t for d, (_, t) in taken.items() if t}
 
 
+def test_mixed_documents_without_ids(spark):
+    """Rows that share an id, null too, are each taken as mix() says of them."""
+    rows = [(d, f"{s}{n} " * (3 + 2 * n), "en", s) for d in (None, 7) for s in "ab" for n in range(4)]
+    docs = frame(spark, rows)
+    for weights in ((0.0, 1.0), (3.0, 1.0)):
+        expected = sum(r["taken"] for r in mixing.mix(docs, weights).collect())
+        got = mixing.mixed_documents(docs, weights=weights).select("text", "source").collect()
+        assert sum(len(words(r["text"])) for r in got) == expected > 0
+        assert {r["source"] for r in got} == ({"b"} if weights[0] == 0 else {"a", "b"})
+        assert all(set(words(r["text"])) <= {f"{r['source']}{n}" for n in range(4)} for r in got)
+
+
 def test_line_dedup_counts(spark):
     sites = [(100 + k, f"unique {k}\nshared by all\nshared by nine {'' if k < 9 else k}\n\nend {k}", "en", f"s{k}") for k in range(12)]
     sites += [(300, "shared by all\nshared by all", "en", None), (301, "shared by all", "en", "s0"), (301, "shared by all", "en", "s0")]

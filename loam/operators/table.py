@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
 import random
+import re
 import threading
 import time
-from collections import defaultdict
+from collections import defaultdict, deque
 from concurrent.futures import Future
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +37,10 @@ class Table:
         self.log.ensure()
         self._buffer = WriteBuffer(self, spec.write_buffer_ms) if spec.write_buffer_ms else None
         self._compacting: set[tuple] = set()
+        self._threads: list[threading.Thread] = []
         self._lock = threading.Lock()
+        #: The newest errors of auto-compaction, which no append raises.
+        self.compaction_errors: deque[Exception] = deque(maxlen=100)
 
     # reading
 
@@ -84,7 +90,10 @@ class Table:
             raise VersionExpired(f"{len(gone)} files of version {start} were vacuumed")
         before = self.read_files([f for p, f in old.items() if p not in new])
         after = self.read_files([f for p, f in new.items() if p not in old])
-        return after.exceptAll(before).withColumn("_change", F.lit("insert")).union(before.exceptAll(after).withColumn("_change", F.lit("delete")))
+        maps = [f for f in self.spec.schema if _has_map(f.dataType)]  # no order and no equality in Spark
+        before, after = (x.withColumns({f.name: _listed(F.col(f"`{f.name}`"), f.dataType) for f in maps}) for x in (before, after))
+        found = after.exceptAll(before).withColumn("_change", F.lit("insert")).union(before.exceptAll(after).withColumn("_change", F.lit("delete")))
+        return found.withColumns({f.name: _mapped(F.col(f"`{f.name}`"), f.dataType) for f in maps})
 
     # writing
 
@@ -108,10 +117,38 @@ class Table:
         added = files_.stage(df, self.spec, self.store)
         if not added and "txn" not in more:
             return None
-        version = self.log.commit("append", {"row_count": sum(f.rows for f in added)}, added, **more)
+        try:
+            version = self.log.commit("append", {"row_count": sum(f.rows for f in added)}, added, **more)
+        except LoamError:  # raised before anything is published; other errors may come after it
+            self._discard(added)
+            raise
         self._auto_compact(added)
         return version
 
+    def _discard(self, files: list[File]) -> None:
+        """Deletes staged files that no version will name; what can't be deleted now is left to vacuum."""
+        for f in files:
+            with contextlib.suppress(Exception):
+                self.store.delete(f.path)
+
+    def backfill_statistics(self) -> int | None:
+        """Gathers what files lack of the declared stats_columns (declared later, say), in one commit; its version, or None.
+
+        Files stay where they are; one pass reads the columns that the statistics need.
+        """
+        lacking = [f for f in self.log.snapshot().values() if any(c not in f.stats and not (f.inject and c in self.spec.partition_by) for c in self.spec.stats_columns)]
+        if not lacking:
+            return None
+        with files_.settings(self.spark, self.store.listing):
+            read = self.spark.read.schema(self.spec.schema).parquet(*[files_.escaped(self.store.url(f.path)) for f in lacking])
+        found = {name: f.stats for name, f in files_.describe(read, self.spec, self.store)[0]}
+        added = [replace(f, stats=found.get(f.path, f.stats)) for f in lacking]
+        return self.log.commit("backfill", {"file_count": len(added)}, added, [f.path for f in added])
+
+    def info(self) -> DataFrame:
+        """option, value: the declaration, and where the table is, as text."""
+        return self.spark.createDataFrame(sorted({**self.spec.options(), "root": self.store.root, "version": str(self.version())}.items()), "option string, value string")
+
     # changing
 
     def delete_where(self, *parts: object, **equals: object) -> dict:
@@ -168,9 +205,8 @@ class Table:
         params = {"rows_affected": affected, "files_rewritten": len(touched)}
         try:
             return {"version": self.log.commit(operation, params, added, [f.path for f in touched])} | params
-        except ConcurrentModification:
-            for f in added:
-                self.store.delete(f.path)
+        except LoamError:
+            self._discard(added)
             raise
 
     def _whole(self, files: list[File], predicate: Column) -> dict[str, int]:
@@ -190,9 +226,11 @@ class Table:
 
     # upkeep
 
-    def optimize(self, min_files: int = 4, partition: dict | None = None) -> dict:
+    def optimize(self, min_files: int = 4, partition: dict | None = None, only: set[tuple] | None = None) -> dict:
         """Joins small files (under half the target size) of partitions that have min_files of them or more.
 
+        partition: values of partition columns that narrow it down; only: the partitions' whole values, as tuples.
+
         All partitions are written by one job; each is committed by itself, so a conflict in one leaves the others
         joined; such partitions are tried again, then counted as partitions_skipped.
         """
@@ -206,13 +244,13 @@ class Table:
             groups: dict[tuple, list[File]] = defaultdict(list)
             for f in self.log.snapshot().values():
                 values = dict(zip(self.spec.partition_by, f.values(self.spec, self.spec.partition_by), strict=True))
-                if f.size < small and (wanted is None or all(values[c] == v for c, v in wanted.items())):
+                if f.size < small and (wanted is None or all(values[c] == v for c, v in wanted.items())) and (only is None or tuple(values.values()) in only):
                     groups[tuple(values.values())].append(f)
             groups = {k: v for k, v in groups.items() if len(v) >= min_files and (left is None or k in left)}
             if not groups:
                 break
             added: dict[tuple, list[File]] = defaultdict(list)
-            with _advisory(self.spark, int(self.spec.target_file_size_mb * 2**20)):
+            with files_.settings(self.spark, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": str(int(self.spec.target_file_size_mb * 2**20))}):
                 for f in files_.stage(self.read_files([f for g in groups.values() for f in g]), self.spec, self.store):
                     added[f.values(self.spec, self.spec.partition_by)].append(f)
             left = set()
@@ -225,93 +263,147 @@ class Table:
                     result["files_added"] += len(new)
                 except ConcurrentModification:
                     left.add(key)
-                    for f in new:
-                        self.store.delete(f.path)
+                    self._discard(new)
             if not left:
                 break
         result["partitions_skipped"] = len(left or ())
         return result
 
     def vacuum(self, retention_hours: float | None = None, dry_run: bool = False) -> dict:
-        """Deletes files whose removal is older than the retention. Versions that need them raise VersionExpired.
+        """Deletes files whose removal is older than the retention, and files as old that no commit ever named.
 
-        What can't be deleted now is tried next time. Nothing is committed.
+        Versions that need removed files raise VersionExpired from then on. What can't be deleted now is tried next
+        time. Nothing is committed.
         """
         hours = self.spec.vacuum_retention_hours if retention_hours is None else retention_hours
-        limit = dt.datetime.now(dt.UTC).replace(tzinfo=None) - dt.timedelta(hours=hours)
-        candidates, low = [], self.log.low_water()
-        for version in range(1, self.log.latest() + 1):
-            entry = self.log.record(version)
-            if entry["remove"] and self.log.committed_at(version) <= limit:
-                candidates += [(version, p) for p in entry["remove"]]
+        now = dt.datetime.now(dt.UTC).replace(tzinfo=None)
+        limit = now - dt.timedelta(hours=hours)
+        latest, low = self.log.latest(), self.log.low_water()
+        state = self.log.state(latest)
+        old = self.log.resolve(as_of=limit)
+        removed = [(v, p) for p, v in sorted(state.removed.items()) if v <= old]
         folders: dict[str, set[str]] = {}
-        for _, path in candidates:
+        for _, path in removed:
             parent = path.rsplit("/", 1)[0]
             if parent not in folders:
                 folders[parent] = set(self.store.names(parent))
-        present = [p for _, p in candidates if p.rsplit("/", 1)[1] in folders[p.rsplit("/", 1)[0]]]
+        present = [p for _, p in removed if p.rsplit("/", 1)[1] in folders[p.rsplit("/", 1)[0]]]
+        orphans = self._orphans(limit.replace(tzinfo=dt.UTC).timestamp(), hours > 0)
         if dry_run:
-            return {"candidates": present}
-        if candidates and max(v for v, _ in candidates) > low:
-            self.store.replace(f"{self.log.folder}/vacuumed.txt", str(max(v for v, _ in candidates)))
+            return {"candidates": present + orphans}
+        if removed and max(v for v, _ in removed) > low:
+            self.store.replace(f"{self.log.folder}/vacuumed.txt", str(max(v for v, _ in removed)))
         deleted = 0
-        for path in present:
+        for path in present + orphans:
             try:
                 self.store.delete(path)
                 deleted += 1
             except Exception:  # noqa: BLE001, S112 - stays a candidate
                 continue
-        return {"deleted": deleted, "candidates": len(present)}
+        if removed and deleted == len(present) + len(orphans):
+            self.store.replace(f"{self.log.folder}/swept.txt", str(max(low, *(v for v, _ in removed))))
+        return {"deleted": deleted, "candidates": len(present) + len(orphans)}
+
+    def _orphans(self, before: float, wanted: bool) -> list[str]:
+        """Files of this table's making, changed last before a time, that commits which failed have left.
+
+        Asked for without a retention there are none: files that a writer has staged but not yet committed look alike.
+        """
+        if not wanted:
+            return []
+        state, own = self.log.state(), re.compile(rf"{self.spec.name}/(_staging/|(.*/)?part-[0-9a-f]{{32}}\.parquet$)")
+        return sorted(p for p, changed in self.store.walk(self.spec.name) if changed < before and own.match(p) and p not in state.live and p not in state.removed)
 
     def _auto_compact(self, added: list[File]) -> None:
+        """Joins small files of the partitions that were added to, by one job. The append is committed: nothing is raised."""
         threshold = self.spec.auto_compact_threshold
         if not threshold:
             return
-        columns = self.spec.partition_by
-        for key in {f.values(self.spec, columns) for f in added}:
+        with self._lock:
+            keys = {f.values(self.spec, self.spec.partition_by) for f in added} - self._compacting
+            self._compacting |= keys
+        if not keys:
+            return
+        if self.spec.auto_compact_async:
+            thread = threading.Thread(target=self._compact, args=(threshold, keys), daemon=True)
             with self._lock:
-                if key in self._compacting:
-                    continue
-                self._compacting.add(key)
-            try:
-                self.optimize(threshold, dict(zip(columns, key, strict=True)))
-            finally:
-                with self._lock:
-                    self._compacting.discard(key)
+                self._threads = [t for t in self._threads if t.is_alive()] + [thread]
+            thread.start()
+        else:
+            self._compact(threshold, keys)
+
+    def _compact(self, threshold: int, keys: set[tuple]) -> None:
+        try:
+            self.optimize(threshold, only=keys)
+        except Exception as error:  # noqa: BLE001 - told by compaction_errors; files stay as they are
+            self.compaction_errors.append(error)
+        finally:
+            with self._lock:
+                self._compacting -= keys
+
+    def wait_for_compaction(self) -> None:
+        """Returns when the auto-compactions begun so far by this table are done."""
+        for thread in list(self._threads):
+            thread.join()
 
     # import
 
-    def import_existing(self, prefix: str) -> int:
+    def import_existing(self, prefix: str, rewrite_mixed: bool = False) -> int:
         """Takes Parquet files below a folder of the root into the table where they are; the new version.
 
         Rows, sizes and statistics come from one pass. Partition columns that files lack are read from k=v folders.
-        Files that the table knows are passed over; no new file is an error.
+        Files that the table knows are passed over; no new file is an error. So is a file whose rows belong to more
+        than one partition, as one value must hold for a file; with rewrite_mixed such files stay out of the table and
+        their rows are written into files of its own.
         """
         prefix = prefix.strip("/")
         if not prefix:
             raise ValueError("import needs a folder")
-        read = self.spark.read.schema(self.spec.schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
-        known = {f["path"] for v in range(self.log.latest() + 1) for f in self.log.record(v)["add"]}
-        found = [f for _, f in files_.describe(read.parquet(self.store.url(prefix)), self.spec, self.store) if f.path not in known and "/_" not in f.path]
-        if not found:
+        with files_.settings(self.spark, self.store.listing):
+            read = self.spark.read.schema(self.spec.schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+            described, mixed = files_.describe(read.parquet(self.store.url(prefix)), self.spec, self.store)
+        state = self.log.state()
+        known = {*state.live, *state.removed}
+        found = [f for _, f in described if f.path not in known and "/_" not in f.path]
+        mixed = sorted(p for p in mixed if "/_" not in p)
+        if mixed and not rewrite_mixed:
+            raise LoamError(f"{len(mixed)} files below {prefix} hold rows of several partitions, {mixed[0]} for one")
+        if not found and not mixed:
             raise LoamError(f"no new Parquet files below {prefix}")
-        return self.log.commit("import", {"file_count": len(found), "source_prefix": prefix}, found)
-
-
-class _advisory:
-    """Sets the size that adaptive execution aims at, for a while."""
-
-    NAME = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-
-    def __init__(self, spark: SparkSession, size: int) -> None:
-        self.conf, self.size = spark.conf, size
+        made = files_.stage(self.read_files([File(p, 0, 0) for p in mixed]), self.spec, self.store) if mixed else []
+        try:
+            return self.log.commit("import", {"file_count": len(found) + len(made), "source_prefix": prefix}, found + made)
+        except LoamError:
+            self._discard(made)
+            raise
 
-    def __enter__(self) -> None:
-        self.before = self.conf.get(self.NAME, None)
-        self.conf.set(self.NAME, str(self.size))
 
-    def __exit__(self, *_: object) -> None:
-        self.conf.unset(self.NAME) if self.before is None else self.conf.set(self.NAME, self.before)
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _has_map(kind.elementType)
+    return isinstance(kind, T.MapType) or isinstance(kind, T.StructType) and any(_has_map(f.dataType) for f in kind)
+
+
+def _listed(column: Column, kind: T.DataType) -> Column:
+    """The value with every map in it as entries in the order of their keys, which can be compared."""
+    if not _has_map(kind):
+        return column
+    if isinstance(kind, T.ArrayType):
+        return F.transform(column, lambda x: _listed(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.array_sort(F.transform(F.map_entries(column), lambda e: F.struct(e["key"].alias("key"), _listed(e["value"], kind.valueType).alias("value"))))
+    return F.when(column.isNotNull(), F.struct(*[_listed(column[f.name], f.dataType).alias(f.name) for f in kind]))
+
+
+def _mapped(column: Column, kind: T.DataType) -> Column:
+    """_listed() reversed."""
+    if not _has_map(kind):
+        return column
+    if isinstance(kind, T.ArrayType):
+        return F.transform(column, lambda x: _mapped(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.map_from_entries(F.transform(column, lambda e: F.struct(e["key"].alias("key"), _mapped(e["value"], kind.valueType).alias("value"))))
+    return F.when(column.isNotNull(), F.struct(*[_mapped(column[f.name], f.dataType).alias(f.name) for f in kind]))
 
 
 class WriteBuffer:

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import operator
 import random
 import threading
 import time
+from collections import deque
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from loam.operators.table import Table
 from loam.plans.expr import Constant
-from loam.plans.types import ConcurrentModification, VersionExpired, ViewIsReadOnly, ViewSpec
+from loam.plans.types import ConcurrentModification, LoamError, ViewIsReadOnly, ViewSpec
 from loam.sources import files as files_
 from loam.sources.log import File
 
@@ -38,7 +41,7 @@ class View(Table):
     def update_where(self, condition: object, **changes: object) -> dict:
         raise ViewIsReadOnly(self.spec.name)
 
-    def import_existing(self, prefix: str) -> int:
+    def import_existing(self, prefix: str, rewrite_mixed: bool = False) -> int:
         raise ViewIsReadOnly(self.spec.name)
 
     def refresh(self, strategy: str | None = None) -> dict | str:
@@ -82,9 +85,8 @@ class View(Table):
         operation, params = ("refresh_full", {"rows": rows}) if changed is None else ("refresh_incremental", {"rows": rows, "partitions": len(changed)})
         try:
             version = self.log.commit(operation, params, added, [f.path for f in kept], watermarks=targets)
-        except ConcurrentModification:
-            for f in added:
-                self.store.delete(f.path)
+        except LoamError:
+            self._discard(added)
             raise
         count = len({f.values(spec, spec.partition_by) for f in added}) if changed is None else len(changed)
         return self._summary(version, strategy, count, added, kept, targets)
@@ -141,12 +143,16 @@ def refresh_all(views: list[View], strategy: str | None = None) -> dict[str, dic
 
 
 class RefreshWorker:
-    """Refreshes a view when it gets stale, and soon after notify(); a burst of calls is one refresh."""
+    """Refreshes a view when it gets stale, and soon after notify(); a burst of calls is one refresh.
 
-    def __init__(self, view: View, max_staleness: float | None = None, min_interval_ms: int = 1000) -> None:
-        self.view, self.interval = view, min_interval_ms / 1000
+    A refresh that fails is told in `errors` (the newest hundred) and to `on_error`, if given; the worker goes on, and
+    tries again when the view is stale or notify() is called the next time.
+    """
+
+    def __init__(self, view: View, max_staleness: float | None = None, min_interval_ms: int = 1000, on_error: Callable[[Exception], None] | None = None) -> None:
+        self.view, self.interval, self.on_error = view, min_interval_ms / 1000, on_error
         self.staleness = max_staleness if max_staleness is not None else view.spec.max_staleness
-        self.refreshed, self.errors = 0, []
+        self.refreshed, self.errors = 0, deque(maxlen=100)
         self._wake, self._stopped = threading.Event(), threading.Event()
         self._thread = threading.Thread(target=self._run, daemon=True)
 
@@ -174,5 +180,8 @@ class RefreshWorker:
             try:
                 self.view.refresh()
                 self.refreshed += 1
-            except (ConcurrentModification, VersionExpired) as error:
+            except Exception as error:  # noqa: BLE001 - whatever it is, the next refresh may do
                 self.errors.append(error)
+                if self.on_error:
+                    with contextlib.suppress(Exception):
+                        self.on_error(error)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import datetime as dt
 import decimal
 import enum
 import math
 import re
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,7 +41,8 @@ class TableSpec:
     """A table: its columns, how files are laid out, and what is kept about them.
 
     primary_key names rows for delete_row and update_row; it is not enforced. partition_by columns stay in the files
-    and name the folders. stats_columns get minimum, maximum and null count for each file.
+    and name the folders. stats_columns get minimum, maximum and null count for each file. auto_compact_threshold:
+    small files of a partition that an append joins; with auto_compact_async in a thread of its own.
     """
 
     name: str
@@ -53,6 +55,7 @@ class TableSpec:
     vacuum_retention_hours: float = 168
     write_buffer_ms: int | None = None
     auto_compact_threshold: int | None = None
+    auto_compact_async: bool = False
 
     def __post_init__(self) -> None:
         if not re.fullmatch(r"\w+", self.name):
@@ -74,6 +77,14 @@ class TableSpec:
     def skippable_columns(self) -> tuple[str, ...]:
         return tuple(dict.fromkeys((*self.partition_by, *self.stats_columns)))
 
+    def options(self) -> dict[str, str]:
+        """The declaration as text, by the names of its options."""
+        shown = {f.name: getattr(self, f.name) for f in fields(self)}
+        shown |= {"schema": self.schema.simpleString(), "skippable_columns": self.skippable_columns}
+        if "sources" in shown:
+            shown |= {"sources": tuple(self.sources), "functions": tuple(self.functions), "query": self.query if isinstance(self.query, str) else "(a function)"}
+        return {k: ",".join(v) if isinstance(v, tuple) else "" if v is None else str(v) for k, v in shown.items()}
+
     def type_of(self, column: str) -> T.DataType:
         if column not in self.schema.fieldNames():
             raise UnsupportedExpression(f"{self.name} has no column {column!r}")
@@ -85,8 +96,9 @@ class ViewSpec(TableSpec):
     """A table whose rows a query makes from sources.
 
     query: Spark SQL over the aliases of sources, or a function of the refresh session. refresh: "recompute" or
-    "partition_incremental", which needs partition_by columns that all sources have among theirs. functions: Python
-    functions to register in the refresh session, by name. max_staleness: seconds after which a worker refreshes.
+    "partition_incremental", which needs partition_by columns that all sources have among theirs. functions: what the
+    refresh session registers by name: UDFs of any kind (pandas and Arrow ones too, with their types), or plain Python
+    functions, which return text. max_staleness: seconds after which a worker refreshes.
     """
 
     sources: Mapping[str, object] = field(default_factory=dict)
@@ -126,8 +138,16 @@ _FITS: list[tuple[tuple[type[T.DataType], ...], tuple[type, ...]]] = [
 ]
 
 
+#: Least and greatest values of the integer types.
+_BOUNDS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
+
+
 def literal(value: object, kind: T.DataType) -> object:
-    """A value as one of the column's type: enum members by value, zoned times as UTC; others are refused."""
+    """A value as a column of the type holds it; what no column of the type can hold is refused.
+
+    Enum members count by value and zoned times as UTC. A FLOAT column's value is rounded to 32 bits and a DECIMAL
+    one's to its scale, half up, as Spark casts them: row predicates and file tests both use the value made here.
+    """
     if isinstance(value, enum.Enum):
         value = value.value
     if value is None:
@@ -139,13 +159,30 @@ def literal(value: object, kind: T.DataType) -> object:
             if isinstance(kind, T.DateType) and isinstance(value, dt.datetime):
                 break
             if isinstance(value, dt.datetime) and value.tzinfo:
-                value = value.astimezone(dt.UTC).replace(tzinfo=None)
+                return value.astimezone(dt.UTC).replace(tzinfo=None)
             if isinstance(kind, T.DecimalType):
-                return decimal.Decimal(str(value))
-            return float(value) if isinstance(kind, (T.FloatType, T.DoubleType)) else value
+                return _decimal(value, kind)
+            if isinstance(kind, T.FloatType):
+                return ctypes.c_float(float(value)).value
+            if bits := _BOUNDS.get(type(kind)):
+                if not -(1 << bits - 1) <= value < 1 << bits - 1:
+                    break
+                return int(value)
+            return float(value) if isinstance(kind, T.DoubleType) else value
     raise UnsupportedExpression(f"{value!r} is no {kind.simpleString()}")
 
 
+def _decimal(value: object, kind: T.DecimalType) -> decimal.Decimal:
+    exact = decimal.Context(prec=400, rounding=decimal.ROUND_HALF_UP)
+    try:
+        rounded = decimal.Decimal(str(value)).quantize(decimal.Decimal(1).scaleb(-kind.scale), context=exact)
+    except decimal.InvalidOperation:  # not finite
+        rounded = decimal.Decimal("NaN")
+    if not rounded.is_finite() or abs(rounded) >= decimal.Decimal(10) ** (kind.precision - kind.scale):
+        raise UnsupportedExpression(f"{value!r} is no {kind.simpleString()}")
+    return rounded
+
+
 def constant(value: object, kind: T.DataType) -> Column:
     """A value as a column of the type. Times go in as text, so that no machine's time zone touches them."""
     return F.lit(value.isoformat(sep=" ") if isinstance(value, dt.datetime) else value).cast(kind)

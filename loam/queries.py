@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import datetime as dt
+import decimal
 import shutil
 import tempfile
 import threading
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,8 +21,8 @@ from loam.functions.columns import asof_join, exact_sum, json_number
 from loam.operators.table import Table
 from loam.operators.view import View, refresh_all
 from loam.plans.expr import field, parse
-from loam.plans.types import TableSpec, ViewSpec
-from loam.streaming.sink import append_stream
+from loam.plans.types import ConcurrentModification, LoamError, TableSpec, UnsupportedExpression, VersionExpired, ViewIsReadOnly, ViewSpec
+from loam.streaming.sink import append_stream, session_counts, windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -157,6 +160,46 @@ def _nullable(spark: SparkSession, sf_dir: str) -> Table:
 _filters()
 
 
+_NUMBERS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("tenth", T.FloatType()), T.StructField("cents", T.DecimalType(10, 2)), T.StructField("third", T.IntegerType())])
+_NUMBERS_SQL = "(SELECT event_id, CAST(event_id % 10 AS FLOAT) / CAST(10 AS FLOAT) AS tenth, CAST(event_id % 500 AS DECIMAL(10, 2)) / 100 AS cents, event_id % 3 AS third FROM events)"
+
+
+def _numbers(spark: SparkSession, sf_dir: str) -> Table:
+    """Events as numbers of other types, in files that hold one value of each or few, so that skipping matters."""
+    table = Table(spark, root(spark), TableSpec("numbers", _NUMBERS, partition_by=("tenth",), sort_within_files=("cents",), stats_columns=("tenth", "cents", "third")))
+    tenth = (F.col("event_id") % 10).cast("float") / F.lit(10).cast("float")
+    table.append(source(spark, sf_dir, "events").select("event_id", tenth.cast("float").alias("tenth"), ((F.col("event_id") % 500) / F.lit(100)).alias("cents"), (F.col("event_id") % 3).cast("int").alias("third")))
+    return table
+
+
+@query(f"SELECT event_id FROM {_NUMBERS_SQL} WHERE event_id % 10 = 1")
+def filter_float_eq(spark, sf_dir):
+    return _numbers(spark, sf_dir).query().filter(field("tenth") == 0.1).select("event_id").df()
+
+
+@query(f"SELECT event_id FROM {_NUMBERS_SQL} WHERE event_id % 10 <= 7")
+def filter_float_lte(spark, sf_dir):
+    return _numbers(spark, sf_dir).query().filter(field("tenth") <= 0.7).select("event_id").df()
+
+
+@query(f"SELECT event_id FROM {_NUMBERS_SQL} WHERE cents = CAST(1.005 AS DECIMAL(10, 2)) OR cents >= 4.99")
+def filter_decimal_scale(spark, sf_dir):
+    return _numbers(spark, sf_dir).query().filter((field("cents") == decimal.Decimal("1.005")) | (field("cents") >= decimal.Decimal("4.994"))).select("event_id").df()
+
+
+@query(f"SELECT event_id FROM {_NUMBERS_SQL} WHERE event_id % 10 <> 1 AND event_id % 10 <> 3")
+def delete_float(spark, sf_dir):
+    table = _numbers(spark, sf_dir)
+    table.delete_where(field("tenth") == 0.1)
+    table.delete_where(field("tenth").one_of(0.3))
+    return table.query().select("event_id").df()
+
+
+@query(f"SELECT {SHOWN} FROM events WHERE false")
+def filter_false(spark, sf_dir):
+    return shared_events(spark, sf_dir).query().filter(False).select(*COLUMNS).df()
+
+
 @query(f"SELECT {SHOWN} FROM events WHERE event_type = 'click' AND value > 20 AND user_id < 100")
 def filter_accumulated(spark, sf_dir):
     q = shared_events(spark, sf_dir).query().filter(event_type="click").filter(field("value") > 20.0)
@@ -171,10 +214,10 @@ def _sorts() -> None:
     for direction, sql in nulls.items():
 
         def run(spark, sf_dir, direction=direction):
-            return _nullable(spark, sf_dir).query().sort(("event_type", direction), "event_id").limit(2500).select("event_id", "event_type").df()
+            return _nullable(spark, sf_dir).query().sort(("event_type", direction), "event_id").select("event_id", "event_type").df()
 
         QUERIES[f"sort_{direction}"] = run
-        ORACLE[f"sort_{direction}"] = f"SELECT event_id, nullif(event_type, 'view') AS event_type FROM events ORDER BY 2 {sql}, event_id LIMIT 2500"
+        ORACLE[f"sort_{direction}"] = f"SELECT event_id, nullif(event_type, 'view') AS event_type FROM events ORDER BY 2 {sql}, event_id"
 
 
 _sorts()
@@ -389,6 +432,101 @@ def auto_compact_content(spark, sf_dir):
     return new_events(spark, sf_dir, 4, partition_by=("event_type",), auto_compact_threshold=3).query().select(*COLUMNS).df()
 
 
+@query("SELECT 1 AS partitions_compacted, 4 AS files_removed, 1 AS files_added, CAST(count(DISTINCT event_type) AS INT) * 4 - 3 AS files FROM events")
+def optimize_partition(spark, sf_dir):
+    table = new_events(spark, sf_dir, 4, partition_by=("event_type",))
+    done = table.optimize(partition={"event_type": "click"})
+    return spark.createDataFrame([(done["partitions_compacted"], done["files_removed"], done["files_added"], table.totals()["files"])], "partitions_compacted int, files_removed int, files_added int, files int")
+
+
+@query("SELECT 'dry run' AS what, CAST(2 + 2 * count(DISTINCT event_type) AS INT) - 2 AS n FROM events UNION ALL SELECT 'deleted', CAST(2 * count(DISTINCT event_type) AS INT) FROM events UNION ALL SELECT 'again', 0 UNION ALL SELECT 'kept by retention', 0")
+def vacuum_counts(spark, sf_dir):
+    table = new_events(spark, sf_dir, 2, partition_by=("event_type",))
+    table.optimize(2)
+    kept = table.vacuum()["deleted"]
+    dry = len(table.vacuum(0, dry_run=True)["candidates"])
+    rows = [("dry run", dry), ("deleted", table.vacuum(0)["deleted"]), ("again", table.vacuum(0)["deleted"]), ("kept by retention", kept)]
+    return spark.createDataFrame(rows, "what string, n int")
+
+
+@query("SELECT CAST(count(DISTINCT event_type) AS INT) AS compacted, 0 AS errors, CAST(count(*) AS BIGINT) AS n FROM events")
+def auto_compact_async(spark, sf_dir):
+    table = new_events(spark, sf_dir, 4, partition_by=("event_type",), auto_compact_threshold=4, auto_compact_async=True)
+    table.wait_for_compaction()
+    totals = table.totals()
+    return spark.createDataFrame([(totals["files"], len(table.compaction_errors), totals["rows"])], "compacted int, errors int, n bigint")
+
+
+@query("SELECT * FROM (VALUES ('a removed file can''t be removed again', 'ConcurrentModification'), ('a view can''t be written', 'ViewIsReadOnly'), ('no such aggregate', 'UnsupportedExpression'), ('no such column', 'UnsupportedExpression'), ('of another type', 'UnsupportedExpression'), ('out of range', 'UnsupportedExpression'), ('vacuumed', 'VersionExpired')) AS t(what, error)")
+def refusals(spark, sf_dir):
+    """What is refused, and by which error."""
+    table = new_events(spark, sf_dir, 1, partition_by=("event_type",))
+    removed = table.snapshot()[0].path
+    table.log.commit("delete", {}, [], [removed])
+    view = _day_view(table, refresh="recompute")
+
+    def expired():
+        table.vacuum(0)
+        table.read(version=1)
+
+    cases = {
+        "a removed file can't be removed again": (ConcurrentModification, lambda: table.log.commit("delete", {}, [], [removed])),
+        "a view can't be written": (ViewIsReadOnly, lambda: view.delete_where(True)),
+        "no such aggregate": (UnsupportedExpression, lambda: table.query().aggregate(x=("median", "value"))),
+        "no such column": (UnsupportedExpression, lambda: table.query().filter(nope=1).df()),
+        "of another type": (UnsupportedExpression, lambda: table.query().filter(user_id="1").df()),
+        "out of range": (UnsupportedExpression, lambda: table.query().filter(user_id=1 << 63).df()),
+        "vacuumed": (VersionExpired, expired),
+    }
+    rows = []
+    for what, (kind, run) in cases.items():
+        try:
+            run()
+        except LoamError as error:
+            rows.append((what, type(error).__name__ if isinstance(error, kind) else f"unlike {kind.__name__}: {error!r}"))
+    return spark.createDataFrame(rows, "what string, error string")
+
+
+@query("SELECT option, value FROM (VALUES ('name', 'events'), ('partition_by', 'event_type,day'), ('stats_columns', 'ts,user_id,value'), ('skippable_columns', 'event_type,day,ts,user_id,value'), ('sort_within_files', 'ts'), ('vacuum_retention_hours', '168')) AS t(option, value)")
+def table_info(spark, sf_dir):
+    wanted = ("name", "partition_by", "stats_columns", "skippable_columns", "sort_within_files", "vacuum_retention_hours")
+    return shared_events(spark, sf_dir).info().where(F.col("option").isin(*wanted))
+
+
+@query("SELECT CAST(count(DISTINCT event_type) AS INT) AS before, CAST(count(DISTINCT event_type) FILTER (WHERE value > 480) AS INT) AS after, CAST(count(*) FILTER (WHERE value > 480) AS BIGINT) AS n FROM events")
+def backfill_statistics(spark, sf_dir):
+    """Files to read before and after statistics of a column are gathered that was not declared when they were written."""
+    old = new_events(spark, sf_dir, partition_by=("event_type",), stats_columns=())
+    table = Table(spark, old.store.root, spec(partition_by=("event_type",), stats_columns=("value",)))
+    q = table.query().filter(field("value") > 480.0)
+    before = len(q.files())
+    table.backfill_statistics()
+    return spark.createDataFrame([(before, len(q.files()), q.count())], "before int, after int, n bigint")
+
+
+@query(f"SELECT {SHOWN} FROM events UNION ALL SELECT -1, TIMESTAMP '2024-02-01 00:00:00', 1, 'made', 0.5")
+def create_row(spark, sf_dir):
+    table = new_events(spark, sf_dir, partition_by=("event_type",))
+    table.create(event_id=-1, ts=dt.datetime(2024, 2, 1), user_id=1, event_type="made", value=0.5, day=dt.date(2024, 2, 1))
+    return table.query().select(*COLUMNS).df()
+
+
+@query("SELECT count(DISTINCT event_type) AS files, true AS in_order FROM events")
+def in_file_order(spark, sf_dir):
+    """Whether the rows of each file follow one another in the order declared."""
+    table = new_events(spark, sf_dir, partition_by=("event_type",))
+    rows = table.read_files(table.snapshot(), "path").select("path", "ts", F.monotonically_increasing_id().alias("place"))
+    ordered = rows.withColumn("before", F.lag("ts").over(Window.partitionBy("path").orderBy("place")))
+    each = ordered.groupBy("path").agg(F.coalesce(F.bool_and(F.col("before") <= F.col("ts")), F.lit(True)).alias("fine"))
+    return each.agg(F.count("*").alias("files"), F.bool_and("fine").alias("in_order"))
+
+
+@query("SELECT event_id FROM events WHERE user_id < 20")
+def stream_rows(spark, sf_dir):
+    rows = shared_events(spark, sf_dir).query().filter(field("user_id") < 20).sort("event_id").select("event_id").stream()
+    return spark.createDataFrame(((r["event_id"],) for r in rows), "event_id bigint")
+
+
 # ingest
 
 
@@ -409,7 +547,6 @@ def _imported(spark: SparkSession, sf_dir: str, inside: bool) -> DataFrame:
     df = events(spark, sf_dir)
     if inside:
         df.write.parquet(table.store.url("lake"))
-        # files of mixed partitions would have no single value
         table = Table(spark, table.store.root, spec("plain", partition_by=()))
     else:
         df.write.partitionBy("event_type", "day").parquet(table.store.url("lake"))
@@ -427,6 +564,29 @@ def import_pathonly(spark, sf_dir):
     return _imported(spark, sf_dir, False)
 
 
+def _import_mixed(spark: SparkSession, sf_dir: str) -> Table:
+    """Files whose rows belong to several partitions, refused as they are, and rewritten."""
+    table = Table(spark, root(spark), spec(partition_by=("event_type",)))
+    events(spark, sf_dir).repartition(3).write.parquet(table.store.url("lake"))
+    with contextlib.suppress(LoamError):
+        table.import_existing("lake")
+        raise AssertionError("files of mixed partitions were taken as they are")
+    table.import_existing("lake", rewrite_mixed=True)
+    return table
+
+
+@query(f"SELECT {SHOWN} FROM events WHERE event_type = 'signup'")
+def import_mixed(spark, sf_dir):
+    return _import_mixed(spark, sf_dir).query().filter(event_type="signup").select(*COLUMNS).df()
+
+
+@query(f"SELECT {SHOWN} FROM events WHERE event_type <> 'signup'")
+def import_mixed_delete(spark, sf_dir):
+    table = _import_mixed(spark, sf_dir)
+    table.delete_where(event_type="signup")
+    return table.query().select(*COLUMNS).df()
+
+
 @query("SELECT event_id, CASE WHEN event_id % 2 = 1 THEN 'n' || event_id END AS note FROM events")
 def schema_evolution(spark, sf_dir):
     first = new_events(spark, sf_dir, partition_by=("day",))
@@ -456,6 +616,47 @@ def stream_append(spark, sf_dir):
     return table.query().select(*COLUMNS).df()
 
 
+def _streamed(spark: SparkSession, sf_dir: str, counted: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """What a counting stream over the events has put into a table when its input is used up."""
+    top = root(spark)
+    source(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).repartition(2).write.parquet(f"{top}/incoming")
+    stream = spark.readStream.schema("event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string").parquet(f"{top}/incoming")
+    out = counted(stream)
+    if mode == "append":  # windows that the watermark has passed
+        out.writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/checkpoint").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(out.schema).parquet(f"{top}/out")
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{top}/out")  # noqa: E731 - the whole result, each time
+    out.writeStream.foreachBatch(write).option("checkpointLocation", f"{top}/checkpoint").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{top}/out")
+
+
+def _in_utc(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+@query("SELECT time_bucket(INTERVAL '1 day', ts) AS start, time_bucket(INTERVAL '1 day', ts) + INTERVAL '1 day' AS \"end\", event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_tumbling(spark, sf_dir):
+    return _in_utc(_streamed(spark, sf_dir, lambda s: windowed_counts(s, "ts", ["event_type"], "1 day", "60 days"), "complete"))
+
+
+@query("""
+SELECT start, start + INTERVAL '2 days' AS "end", event_type, count(*) AS n
+FROM (SELECT event_type, unnest([CAST(ts AS DATE) - 1, CAST(ts AS DATE)])::TIMESTAMP AS start FROM events) GROUP BY ALL
+""")
+def stream_sliding(spark, sf_dir):
+    counted = _streamed(spark, sf_dir, lambda s: windowed_counts(s, "ts", ["event_type"], "2 days", "60 days", "1 day"), "complete")
+    return _in_utc(counted)
+
+
+@query("""
+WITH m AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL '6 hours' THEN 0 ELSE 1 END AS begins FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(begins) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM m)
+SELECT min(ts) AS start, max(ts) + INTERVAL '6 hours' AS "end", user_id, count(*) AS n FROM s GROUP BY user_id, nth
+""")
+def stream_sessions(spark, sf_dir):
+    return _in_utc(_streamed(spark, sf_dir, lambda s: session_counts(s, "ts", ["user_id"], "6 hours", "60 days"), "complete"))
+
+
 # views
 
 _BY_DAY = "SELECT event_type, day, count(*) AS n, count(*) FILTER (WHERE value > 50) AS high, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM source GROUP BY event_type, day"
@@ -558,6 +759,13 @@ def _sql_views() -> None:
         "setops": ("(SELECT user_id FROM events WHERE event_type = 'click' AND value > 100 EXCEPT SELECT user_id FROM events WHERE event_type = 'error' AND value > 120) UNION ALL (SELECT user_id FROM events WHERE value > 300 INTERSECT SELECT user_id FROM events WHERE event_type = 'signup' AND value < 5)", "user_id bigint", ("events",)),
         "semi": ("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)", "c_custkey bigint", ("customer", "orders")),
         "anti": ("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)", "c_custkey bigint", ("customer", "orders")),
+        "full_join": ("SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) c FULL OUTER JOIN (SELECT * FROM orders WHERE o_custkey % 3 = 0) o ON o_custkey = c_custkey", "c_custkey bigint, o_orderkey bigint", ("customer", "orders")),
+        "right_join": ("SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) c RIGHT JOIN orders o ON o_custkey = c_custkey", "c_custkey bigint, o_orderkey bigint", ("customer", "orders")),
+        "cross_join": ("SELECT n_name, r_name FROM nation CROSS JOIN region WHERE n_regionkey <> r_regionkey", "n_name string, r_name string", ("nation", "region")),
+        "using_join": ("SELECT k, n_name, s_name FROM (SELECT n_nationkey AS k, n_name FROM nation) n JOIN (SELECT s_nationkey AS k, s_name FROM supplier) s USING (k)", "k int, n_name string, s_name string", ("nation", "supplier")),
+        "natural_join": ("SELECT k, n_name, r_name FROM (SELECT n_regionkey AS k, n_name FROM nation) n NATURAL JOIN (SELECT r_regionkey AS k, r_name FROM region) r", "k int, n_name string, r_name string", ("nation", "region")),
+        "setops_all": ("(SELECT user_id FROM events WHERE value > 150 INTERSECT ALL SELECT user_id FROM events WHERE event_type = 'click') UNION ALL (SELECT user_id FROM events WHERE event_type = 'error' EXCEPT ALL SELECT user_id FROM events WHERE value > 30) UNION SELECT user_id FROM events WHERE user_id < 5", "user_id bigint", ("events",)),
+        "cte_case": ("WITH t AS (SELECT user_id, sum(CAST(value AS DECIMAL(18, 2))) AS total FROM events GROUP BY user_id HAVING count(*) > 2) SELECT user_id, CASE WHEN total > 1000 THEN 'high' WHEN total > 500 THEN 'middle' ELSE 'low' END AS band FROM t", "user_id bigint, band string", ("events",)),
         "range_join": ("SELECT s_suppkey, count(*) AS n FROM supplier JOIN nation ON s_nationkey BETWEEN n_nationkey - 1 AND n_nationkey + 1 GROUP BY s_suppkey", "s_suppkey bigint, n bigint", ("supplier", "nation")),
     }
     for name, (sql, schema, tables) in cases.items():
@@ -601,16 +809,84 @@ def view_asof(spark, sf_dir):
     return view.read()
 
 
+def _letters():
+    """A vectorized UDF: whole Arrow batches at a time, with a type of its own."""
+
+    @F.pandas_udf("bigint")
+    def letters(text: pd.Series) -> pd.Series:
+        return text.str.len()
+
+    return letters
+
+
 @query("SELECT event_type, count(*) AS n FROM events WHERE length(event_type) = 5 GROUP BY event_type")
 def view_udf(spark, sf_dir):
     table = shared_events(spark, sf_dir)
     schema = T.StructType.fromDDL("event_type string, n bigint")
-    sql = "SELECT event_type, count(*) AS n FROM events WHERE letters(event_type) = '5' GROUP BY event_type"
-    view = View(spark, table.store.root, ViewSpec(f"udf{uuid.uuid4().hex}", schema, sources={"events": table}, query=sql, functions={"letters": lambda text: str(len(text))}))
+    sql = "SELECT event_type, count(*) AS n FROM events WHERE letters(event_type) = 5 AND first_letter(event_type) = substring(event_type, 1, 1) GROUP BY event_type"
+    view = View(spark, table.store.root, ViewSpec(f"udf{uuid.uuid4().hex}", schema, sources={"events": table}, query=sql, functions={"letters": _letters(), "first_letter": lambda text: text[:1]}))
     view.refresh()
     return view.read()
 
 
+_FUNCTIONS = """
+SELECT event_id, round(value / 7, 3) AS rounded, event_id % 7 * 3 AS times, concat(event_type, '-', CAST(user_id AS STRING)) AS joined,
+  {list} AS picked, to_timestamp('2024-01-' || lpad(CAST(1 + event_id % 28 AS STRING), 2, '0') || ' 10:20:30'{format}) + INTERVAL {hours} AS later,
+  abs(value - 100) AS away, upper(substring(event_type, 1, 3)) AS head, coalesce(nullif(event_type, 'view'), 'none') AS typed,
+  {hash} AS steady
+FROM events
+"""
+
+
+@query(_FUNCTIONS.format(list="['a', 'b', 'c'][event_id % 3 + 1]", format="", hours="'5 hours'", hash="true").replace("to_timestamp(", "(CAST(").replace("10:20:30')", "10:20:30' AS TIMESTAMP))").replace("AS STRING", "AS VARCHAR"))
+def view_functions(spark, sf_dir):
+    sql = _FUNCTIONS.format(list="array('a', 'b', 'c')[CAST(event_id % 3 AS INT)]", format="", hours="5 HOURS", hash="xxhash64(event_id) = xxhash64(event_id) AND rand() < 1").replace("to_timestamp(", "to_timestamp_ntz(")
+    return _sql_view(spark, sf_dir, sql, "event_id bigint, rounded double, times bigint, joined string, picked string, later timestamp_ntz, away double, head string, typed string, steady boolean", "events")
+
+
+@query("SELECT CAST(x AS BIGINT) AS x, CAST(count(event_id) AS BIGINT) AS n FROM range(0, 40) AS r(x) LEFT JOIN events ON user_id = x GROUP BY x")
+def view_range(spark, sf_dir):
+    return _sql_view(spark, sf_dir, "SELECT id AS x, count(event_id) AS n FROM range(0, 40) LEFT JOIN events ON user_id = id GROUP BY id", "x bigint, n bigint", "events")
+
+
+@query("SELECT event_type, true AS close FROM events GROUP BY event_type")
+def view_approx_distinct(spark, sf_dir):
+    sql = "SELECT event_type, abs(approx_count_distinct(user_id, 0.02) - count(DISTINCT user_id)) <= 0.1 * count(DISTINCT user_id) AS close FROM events GROUP BY event_type"
+    return _sql_view(spark, sf_dir, sql, "event_type string, close boolean", "events")
+
+
+@query("SELECT event_type, event_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS BIGINT) AS nth FROM events")
+def view_window_incremental(spark, sf_dir):
+    table = Table(spark, root(spark), spec(partition_by=("event_type",)))
+    schema = T.StructType.fromDDL("event_type string, event_id bigint, nth bigint")
+    sql = "SELECT event_type, event_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS BIGINT) AS nth FROM events"
+    view = View(spark, table.store.root, ViewSpec("nth", schema, partition_by=("event_type",), sources={"events": table}, query=sql, refresh="partition_incremental"))
+    for k in range(2):
+        table.append(events(spark, sf_dir).where(F.col("event_id") % 2 == k))
+        view.refresh()
+    return view.read()
+
+
+@query("SELECT * FROM (VALUES (1, 'refresh_incremental', 'partition_incremental'), (2, 'refresh_watermark', 'partition_incremental'), (2, 'refresh_watermark', 'up_to_date'), (3, 'refresh_full', 'recompute')) AS t(version, operation, strategy)")
+def view_refresh_outcomes(spark, sf_dir):
+    """What refreshes return and record: changed partitions, a new version without changes, nothing new, an override."""
+    table = new_events(spark, sf_dir)
+    view = _day_view(table)
+    rows = []
+    for step in range(4):
+        if step == 1:
+            table.log.commit("note", {})
+        done = view.refresh("recompute" if step == 3 else None)
+        rows.append((view.version(), view.history(1).first()["operation"], done if isinstance(done, str) else done["strategy"]))
+    return spark.createDataFrame(rows, "version int, operation string, strategy string")
+
+
+@query("SELECT CAST(count(DISTINCT event_type) AS BIGINT) AS partitions, CAST(count(*) AS BIGINT) AS rows_written, 0 AS files_removed FROM (SELECT DISTINCT event_type, CAST(ts AS DATE) AS day FROM events)".replace("count(DISTINCT event_type)", "count(*)"))
+def view_summary(spark, sf_dir):
+    done = _day_view(new_events(spark, sf_dir)).refresh()
+    return spark.createDataFrame([(done["partitions"], done["rows_written"], done["files_removed"])], "partitions bigint, rows_written bigint, files_removed int")
+
+
 # the demo application's queries, over the events
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import threading
 import urllib.parse
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loam.plans.types import TableSpec, encode
+from loam.plans.types import LoamError, TableSpec, encode
 from loam.sources.log import File
 from loam.sources.store import Store
 
@@ -18,6 +21,31 @@ NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 _SAFE = " _.-+@,()"
 
 
+_held: dict[tuple, list] = {}
+_holding = threading.Lock()
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Sets options of a session for a while. Threads may overlap; the last to leave puts back what was there."""
+    keys = [(id(spark._jsparkSession), k) for k in wanted]
+    with _holding:
+        for key in keys:
+            if key not in _held:
+                _held[key] = [spark.conf.get(key[1], None), 0]
+            _held[key][1] += 1
+            spark.conf.set(key[1], wanted[key[1]])
+    try:
+        yield
+    finally:
+        with _holding:
+            for key in keys:
+                _held[key][1] -= 1
+                if not _held[key][1]:
+                    before, _ = _held.pop(key)
+                    spark.conf.unset(key[1]) if before is None else spark.conf.set(key[1], before)
+
+
 def shaped(df: DataFrame, spec: TableSpec) -> DataFrame:
     """df with the table's columns, in order and cast; missing ones null. Other columns are refused."""
     if unknown := [c for c in df.columns if c not in spec.schema.fieldNames()]:
@@ -50,22 +78,26 @@ def local_name(store: Store, url: str) -> str:
     return path[at + len(root) + 1 :]
 
 
-def describe(df: DataFrame, spec: TableSpec, store: Store) -> list[tuple[str, File]]:
+def describe(df: DataFrame, spec: TableSpec, store: Store) -> tuple[list[tuple[str, File]], list[str]]:
     """For each file that df reads: rows, size, partition values, minimum, maximum and null count.
 
-    One aggregation that reads only the columns it needs; one row a file reaches the driver, which holds the manifest.
+    Then the names of files whose rows belong to more than one partition: no values can be told of those. One
+    aggregation that reads only the columns it needs; one row a file reaches the driver, which holds the manifest.
     """
-    parts = [F.min(_value(c, spec)).alias(f"p{i}") for i, c in enumerate(spec.partition_by)]
+    parts = [f(_value(c, spec)).alias(f"{p}{i}") for i, c in enumerate(spec.partition_by) for p, f in (("p", F.min), ("q", F.max))]
     some = [F.count(F.col(f"`{c}`")).alias(f"k{i}") for i, c in enumerate(spec.partition_by)]
     stats = []
     for i, c in enumerate(spec.stats_columns):
         column = _value(c, spec)
         stats += [F.min(column).alias(f"a{i}"), F.max(column).alias(f"b{i}"), F.count(column).alias(f"n{i}")]
     rows = df.groupBy(_file_path().alias("path")).agg(F.count(F.lit(1)).alias("rows"), F.max("_metadata.file_size").alias("size"), *parts, *some, *stats).collect()
-    out = []
+    out, mixed = [], []
     for r in rows:
         name = local_name(store, r["path"])
         partition, inject, told = {}, False, partition_of(name, spec.partition_by)
+        if any(0 < r[f"k{i}"] < r["rows"] or str(r[f"p{i}"]) != str(r[f"q{i}"]) for i in range(len(spec.partition_by))):
+            mixed.append(name)
+            continue
         for i, c in enumerate(spec.partition_by):
             partition[c] = encode(r[f"p{i}"])
             if not r[f"k{i}"] and told.get(c) is not None:  # only the path has it
@@ -74,7 +106,7 @@ def describe(df: DataFrame, spec: TableSpec, store: Store) -> list[tuple[str, Fi
         if inject:  # statistics of a column that the file lacks
             about = {c: v for c, v in about.items() if c not in spec.partition_by}
         out.append((name, File(name, r["size"], r["rows"], partition, about, inject)))
-    return out
+    return out, mixed
 
 
 def _value(column: str, spec: TableSpec) -> Column:
@@ -117,11 +149,17 @@ def stage(df: DataFrame, spec: TableSpec, store: Store) -> list[File]:
         df = df.sortWithinPartitions(*[F.col(c).asc_nulls_last() if k >= len(copies) else F.col(c) for k, c in enumerate(order)])
     draft = f"{spec.name}/_staging/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*copies) if copies else writer).parquet(store.url(draft))
+    # rows of one partition are in one task (or several, if large) whether small tasks are joined or not, so they aren't
+    with settings(df.sparkSession, {"spark.sql.adaptive.coalescePartitions.enabled": "false"} if copies else {}):
+        (writer.partitionBy(*copies) if copies else writer).parquet(store.url(draft))
     try:
         moves, out = [], []
-        read = df.sparkSession.read.schema(spec.schema).option("recursiveFileLookup", "true").parquet(store.url(draft))
-        for name, file in describe(read, spec, store):
+        with settings(df.sparkSession, store.listing):
+            read = df.sparkSession.read.schema(spec.schema).option("recursiveFileLookup", "true").parquet(store.url(draft))
+        found, mixed = describe(read, spec, store)
+        if mixed:
+            raise LoamError(f"{mixed[0]} holds rows of several partitions")
+        for name, file in found:
             target = f"{spec.name}/{folder(file.partition)}part-{uuid.uuid4().hex}.parquet"
             moves.append((name, target))
             out.append(File(target, file.size, file.rows, file.partition, file.stats))
@@ -151,7 +189,8 @@ def read_files(spark: SparkSession, spec: TableSpec, store: Store, files: list[F
     out = None
     for group in (plain, told):
         if group:
-            df = spark.read.schema(spec.schema).parquet(*[_escaped(store.url(f.path)) for f in group])
+            with settings(spark, store.listing):
+                df = spark.read.schema(spec.schema).parquet(*[escaped(store.url(f.path)) for f in group])
             if group is told:
                 df = df.select(*[_from_path(f) if f.name in spec.partition_by else F.col(f"`{f.name}`") for f in spec.schema], *path)
             elif path:
@@ -160,7 +199,7 @@ def read_files(spark: SparkSession, spec: TableSpec, store: Store, files: list[F
     return out
 
 
-def _escaped(path: str) -> str:
+def escaped(path: str) -> str:
     """A path as itself where Spark looks for patterns."""
     return "".join("\\" + c if c in "\\{}[]*?" else c for c in path)
 

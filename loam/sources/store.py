@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import shutil
 import urllib.parse
 import uuid
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
@@ -21,6 +23,8 @@ class Store:
     """Paths are relative to the root."""
 
     root: str
+    #: Session options under which Spark looks for files here.
+    listing: dict[str, str] = {}
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -48,6 +52,10 @@ class Store:
     def move(self, source: str, target: str) -> None:
         raise NotImplementedError
 
+    def walk(self, folder: str) -> Iterator[tuple[str, float]]:
+        """Every file below a folder, and when it was last changed (seconds since the epoch)."""
+        raise NotImplementedError
+
     def move_all(self, pairs: list[tuple[str, str]]) -> None:
         with ThreadPoolExecutor(16) as pool:
             list(pool.map(lambda p: self.move(*p), pairs))
@@ -56,6 +64,9 @@ class Store:
 class LocalStore(Store):
     """A folder. A record is linked into place, which only one writer can do."""
 
+    #: A local look-up takes microseconds, a Spark job for the look-ups a third of a second.
+    listing = {"spark.sql.sources.parallelPartitionDiscovery.threshold": "100000"}  # noqa: RUF012
+
     def __init__(self, root: str) -> None:
         self.root = os.path.abspath(root)
 
@@ -98,6 +109,13 @@ class LocalStore(Store):
         except FileNotFoundError:
             return []
 
+    def walk(self, folder: str) -> Iterator[tuple[str, float]]:
+        for top, _, names in os.walk(self.path(folder)):
+            for n in names:
+                path = os.path.join(top, n)
+                with contextlib.suppress(FileNotFoundError):
+                    yield os.path.relpath(path, self.root), os.stat(path).st_mtime
+
     def delete(self, name: str) -> None:
         path = self.path(name)
         if os.path.isdir(path):
@@ -169,6 +187,15 @@ class HadoopStore(Store):
         found = (s.getPath().getName() for s in self._fs.listStatus(self._at(folder)))
         return sorted(n for n in found if not n.startswith("."))
 
+    def walk(self, folder: str) -> Iterator[tuple[str, float]]:
+        if not self._fs.exists(self._at(folder)):
+            return
+        top = self._fs.makeQualified(self._at("")).toUri().getPath().rstrip("/")
+        found = self._fs.listFiles(self._at(folder), True)
+        while found.hasNext():
+            status = found.next()
+            yield status.getPath().toUri().getPath()[len(top) + 1 :], status.getModificationTime() / 1000
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._at(name), True)
 

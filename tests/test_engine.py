@@ -3,6 +3,7 @@
 import datetime as dt
 import decimal
 import enum
+import os
 import random
 import threading
 import time
@@ -18,6 +19,7 @@ from loam.operators.view import RefreshWorker, View, refresh_all
 from loam.plans import types
 from loam.plans.expr import Constant, Negated, field, parse
 from loam.plans.types import ConcurrentModification, LoamError, TableSpec, UnsupportedExpression, VersionExpired, ViewIsReadOnly, ViewSpec
+from loam.sources import files
 from loam.sources.log import File
 from loam.sources.store import HadoopStore, LocalStore
 from loam.streaming.sink import append_stream, batch_writer, session_counts, windowed_counts
@@ -239,6 +241,54 @@ def test_skipping_loses_nothing(many, shape):
     assert ids(many.query().filter(expr).df()) == ids(whole)
 
 
+# numbers: a filter gives what Spark's own comparison with the value as the column holds it gives
+
+NUMBERS = struct(id=LONG, b=T.ByteType(), s=T.ShortType(), i=T.IntegerType(), l=LONG, f=T.FloatType(), d=DOUBLE, c=T.DecimalType(10, 2), w=T.DecimalType(38, 10))
+whole_numbers = st.integers(-4, 4)
+fractions = st.one_of(st.sampled_from([0.1, 0.2, 0.3, -0.1, 0.7, 1.005, 1.01, 2.675, -0.0, NAN, float("inf")]), whole_numbers)
+exact = st.one_of(st.decimals(-2, 2, places=3), st.sampled_from([decimal.Decimal("1.005"), decimal.Decimal("0.015"), 0.1, 1.005]), whole_numbers)
+numeric = st.one_of(*[st.tuples(st.just(c), whole_numbers) for c in "bsil"], *[st.tuples(st.just(c), fractions) for c in "fd"], *[st.tuples(st.just(c), exact) for c in "cw"])
+
+
+@pytest.fixture(scope="module")
+def numbers(spark, tmp_path_factory):
+    t = Table(spark, str(tmp_path_factory.mktemp("numbers")), TableSpec("numbers", NUMBERS, partition_by=("f",), stats_columns=tuple("bsildcw")))
+    fs, ds, cs = [0.1, 0.2, 0.7, 1.005, None], [0.1, 2.675, NAN, -0.0, None], ["1.01", "1.00", "0.02", "-0.10", None]
+    for k in range(5):
+        c = None if cs[k] is None else decimal.Decimal(cs[k])
+        t.append(spark.createDataFrame([(k, k - 2, k - 2, k - 2, k - 2, fs[k], ds[k], c, None if c is None else c + decimal.Decimal("0.005"))], NUMBERS))
+    return t
+
+
+@settings(max_examples=60, deadline=None, suppress_health_check=list(HealthCheck))
+@given(numeric, st.sampled_from(["==", "!=", "<", "<=", ">", ">="]), st.booleans())
+def test_numbers_of_all_types(numbers, leaf, op, negated):
+    name, value = leaf
+    kind, f = NUMBERS[name].dataType, field(name)
+    expr = {"==": f.__eq__, "!=": f.__ne__, "<": f.__lt__, "<=": f.__le__, ">": f.__gt__, ">=": f.__ge__}[op](value)
+    expr = ~expr if negated else expr
+    column, held = F.col(name), F.lit(value).cast(kind)
+    plain = {"==": column == held, "!=": column != held, "<": column < held, "<=": column <= held, ">": column > held, ">=": column >= held}[op]
+    assert ids(numbers.query().filter(expr).df()) == ids(numbers.read().where(~plain if negated else plain))
+
+
+def test_numbers_that_no_column_holds(numbers):
+    for bad in (field("b") == 128, field("l") > 1 << 63, field("c") == decimal.Decimal(10) ** 8, field("c") == NAN, field("s").one_of(-(1 << 15) - 1)):
+        with pytest.raises(UnsupportedExpression):
+            numbers.query().filter(bad).df()
+    assert ids(numbers.query().filter(field("f") == 0.1).df()) == [0]
+    assert ids(numbers.query().filter(field("c") == decimal.Decimal("1.005")).df()) == [0]
+
+
+def test_deletes_of_floats(spark, tmp_path):
+    schema = struct(id=LONG, x=T.FloatType())
+    t = Table(spark, str(tmp_path), TableSpec("floats", schema, stats_columns=("x",)))
+    t.append(spark.createDataFrame([(1, 0.1), (2, 0.2)], schema))
+    assert t.delete_where(field("x") == 0.1)["rows_affected"] == 1
+    assert t.update_where(field("x") <= 0.2, x=0.3)["rows_affected"] == 1
+    assert ids(t.query().filter(field("x").one_of(0.3)).df()) == [2]
+
+
 # a table against a list
 
 
@@ -444,6 +494,91 @@ def test_import(spark, tmp_path):
     assert ids(t.read()) == [0, 1, 3, 10, 11]
 
 
+def test_import_of_mixed_files(spark, tmp_path):
+    t = Table(spark, str(tmp_path), spec(partition_by=("site",)))
+    rows = [row(1, "a"), row(2, "b"), row(3, "b"), row(4, None), row(5, "")]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/lake/mixed")
+    spark.createDataFrame([row(6, "b"), row(7, "b")], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/lake/pure")
+    spark.createDataFrame([row(8, "c"), row(9, None)], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/lake/some_null")
+    with pytest.raises(LoamError, match="several partitions"):
+        t.import_existing("lake")
+    assert t.version() == 0
+    t.import_existing("lake", rewrite_mixed=True)
+    assert ids(t.read()) == list(range(1, 10))
+    assert ids(t.query().filter(site="b").df()) == [2, 3, 6, 7]
+    assert t.delete_where(site="a") == {"version": 2, "files_rewritten": 1, "rows_affected": 1}
+    assert t.delete_where(field("site").is_nil())["rows_affected"] == 2
+    assert ids(t.read()) == [2, 3, 5, 6, 7, 8]
+
+
+def test_statistics_of_columns_declared_later(spark, tmp_path):
+    old = Table(spark, str(tmp_path), spec(partition_by=("site",), stats_columns=()))
+    for k in range(4):
+        add(old, row(k, "ab"[k % 2], value=float(k)))
+    t = Table(spark, str(tmp_path), spec(partition_by=("site",), stats_columns=("value",)))
+    q = t.query().filter(field("value") > 2.5)
+    assert len(q.files()) == 4
+    assert t.backfill_statistics() == 5
+    assert t.backfill_statistics() is None
+    assert len(q.files()) == 1 and ids(q.df()) == [3]
+    assert t.vacuum(0) == {"deleted": 0, "candidates": 0}
+    assert ids(t.read()) == [0, 1, 2, 3]
+
+
+def test_files_that_no_commit_names_go(spark, tmp_path, monkeypatch):
+    t = Table(spark, str(tmp_path), spec(partition_by=("site",)))
+    add(t, row(1))
+
+    def broken(*_, **__):
+        raise OSError("no connection")
+
+    with monkeypatch.context() as m:
+        m.setattr(t.log, "commit", broken)
+        with pytest.raises(OSError, match="connection"):
+            add(t, row(2))
+    os.makedirs(f"{tmp_path}/t/_staging/draft")
+    for name in ("t/_staging/draft/x.parquet", "t/mine.parquet"):
+        open(f"{tmp_path}/{name}", "w").close()
+    assert t.vacuum() == {"deleted": 0, "candidates": 0}  # they may be another writer's, not yet committed
+    for path, _ in list(t.store.walk("t")):
+        os.utime(f"{tmp_path}/{path}", (1, 1))
+    assert len(t.vacuum(24, dry_run=True)["candidates"]) == 2
+    assert t.vacuum(24)["deleted"] == 2
+    assert ids(t.read()) == [1]
+    assert os.path.exists(f"{tmp_path}/t/mine.parquet")
+
+
+def test_an_append_stands_whatever_compaction_does(spark, tmp_path, monkeypatch):
+    t = Table(spark, str(tmp_path), spec(partition_by=("site",), auto_compact_threshold=2))
+
+    def broken(*_, **__):
+        raise RuntimeError("no room")
+
+    monkeypatch.setattr(t, "optimize", broken)
+    assert [add(t, row(k)) for k in range(3)] == [1, 2, 3]
+    assert len(t.compaction_errors) == 3 and ids(t.read()) == [0, 1, 2]
+    later = Table(spark, str(tmp_path), spec(partition_by=("site",), auto_compact_threshold=2, auto_compact_async=True))
+    add(later, row(3), row(10, "b"))
+    later.wait_for_compaction()
+    assert later.totals()["files"] == 2 and ids(later.read()) == [0, 1, 2, 3, 10]
+
+
+def test_states_are_kept_in_checkpoints(spark, tmp_path):
+    t = Table(spark, str(tmp_path), spec())
+    for k in range(41):
+        t.log.commit("append", {}, [File(f"t/part-{k:032x}.parquet", 1, 1)], [f"t/part-{k - 1:032x}.parquet"] if k else [], txn={"app": f"a{k % 3}", "batch": k}, watermarks={"s": k})
+    t.store.replace("t/_log/swept.txt", "10")
+    for _ in range(20):
+        t.log.commit("note", {})
+    fresh = Table(spark, str(tmp_path), spec())
+    assert [fresh.log.last_batch(f"a{k}") for k in range(4)] == [39, 40, 38, -1]
+    assert fresh.log.watermarks() == {"s": 40}
+    assert sorted(fresh.log.state().removed.values()) == list(range(11, 42))
+    assert len(fresh.log._records) < 10
+    t.store.replace(t.log._name(60, "checkpoint"), "[]")  # of the older form
+    assert Table(spark, str(tmp_path), spec()).log.watermarks() == {"s": 40}
+
+
 # views
 
 DAILY = struct(site=TEXT, day=DATE, n=LONG, high=LONG)
@@ -534,6 +669,41 @@ def test_worker_joins_bursts(table):
     assert view.read().count() == 1
 
 
+def test_worker_survives_and_tells(table):
+    bad = View(table.spark, table.store.root, ViewSpec("bad", struct(n=LONG), sources={"source": table}, query="SELECT nope AS n FROM source"))
+    add(table, row(1))
+    told = []
+    worker = RefreshWorker(bad, max_staleness=60, min_interval_ms=1, on_error=told.append).start()
+    end = time.time() + 20
+    while len(worker.errors) < 2 and time.time() < end:
+        worker.notify()
+        time.sleep(0.1)
+    bad.spec = daily(table).spec
+    while worker.refreshed < 1 and time.time() < end:
+        worker.notify()
+        time.sleep(0.1)
+    worker.stop()
+    assert len(worker.errors) >= 2 and len(told) == len(worker.errors) and worker.refreshed >= 1
+
+
+def test_options_set_by_several_threads_are_put_back(spark):
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before, entered = spark.conf.get(name, None), threading.Barrier(4)
+
+    def hold(k):
+        with files.settings(spark, {name: "false"}):
+            entered.wait()
+            time.sleep(0.05 * k)
+            assert spark.conf.get(name) == "false"
+
+    threads = [threading.Thread(target=hold, args=(k,)) for k in range(4)]
+    for x in threads:
+        x.start()
+    for x in threads:
+        x.join()
+    assert spark.conf.get(name, None) == before
+
+
 # streams
 
 
@@ -573,6 +743,18 @@ def test_change_feed(table):
     assert got == [(1, "delete", 1.0), (2, "delete", 2.0), (2, "insert", 7.0), (4, "insert", 1.0)]
 
 
+def test_change_feed_of_maps(spark, tmp_path):
+    kind = T.MapType(TEXT, T.ArrayType(T.MapType(LONG, TEXT)))
+    schema = struct(id=LONG, m=kind, s=struct(inner=kind, x=LONG))
+    t = Table(spark, str(tmp_path), TableSpec("maps", schema))
+    rows = [(k, {"b": [{k: "x", 0: None}], "a": None}, ({"z": []}, k)) for k in range(3)] + [(9, None, None)]
+    t.append(spark.createDataFrame(rows, schema))
+    t.update_where(field("id") == 1, id=11)
+    got = {(r["id"], r["_change"]): (r["m"], r["s"] and tuple(r["s"])) for r in t.changes(1).collect()}
+    assert got == {(1, "delete"): rows[1][1:], (11, "insert"): rows[1][1:]}
+    assert sorted(r["id"] for r in t.changes(0, 1).collect()) == [0, 1, 2, 9]
+
+
 def test_types_roundtrip():
     for value, kind in ((NAN, T.DoubleType()), (DAY, T.DateType()), (dt.datetime(2026, 1, 1, 2, 3, 4, 5), T.TimestampNTZType()), (decimal.Decimal("1.50"), T.DecimalType(10, 2)), (True, T.BooleanType()), (None, T.StringType()), (2**60, T.LongType())):
         back = types.decode(types.encode(value), kind)

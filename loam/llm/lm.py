@@ -6,37 +6,42 @@ by what they end in (SIGNATURES classes). A token's probability is that of its c
 the token's share of its class: (c + 1/2) over the class' sum of that and 1/2 for all unseen words. With no context
 this is the unigram base; what contexts tell (a language, a style, a phrase, an end) comes on top.
 
-1. Texts are gathered in blocks of about BLOCK_BYTES. A block keeps its distinct words once, with how often its
-   training texts have them, and each text as numbers of those words (written to the shared folder, not shuffled).
-2. Words and counts of all blocks are summed: the corpus' word counts, which give the base, classes and shares. They
-   go back to the blocks that hold the word, and each block is written again as classes.
-3. The tree grows a level at a time, as a table keyed by context and next class: blocks give their distinct pairs,
-   Spark sums them, decides contexts and joins the outcome back to the blocks that hold the pair. A context needs
-   CONTEXT_COUNT occurrences, and counts where its next classes differ from the shorter context's by the divergence
-   test (count times Kullback-Leibler divergence over DIVERGENCE nats for each class seen next). Distributions are
-   smoothed towards the shorter context's by as many pseudo-counts as classes were seen next.
+1. Texts are gathered in blocks of about BLOCK_BYTES, each a row; it keeps its distinct words once and its texts as
+   numbers of those words. Blocks ask for what they need to know, and are answered: questions are dealt out by hash
+   into ranges, one row for each block and range, as packed arrays; whoever has a range sums up what all blocks say and
+   answers each in the order of its question. So what moves between machines is about a byte or two for each distinct
+   thing in a block, and no key's rows meet one by one.
+2. Words are asked for first: their counts in the whole corpus, which give the base, the classes and the shares.
+3. The tree grows a level at a time: blocks ask for their distinct pairs of context and next class, and learn the counts
+   of the pairs and, of each context, how many classes follow it and how far it diverges from the shorter context. A
+   context needs CONTEXT_COUNT occurrences, and counts where its next classes differ from the shorter context's by the
+   divergence test (count times Kullback-Leibler divergence over DIVERGENCE nats for each class seen next).
+   Distributions are smoothed towards the shorter context's by as many pseudo-counts as classes were seen next. How
+   often a context occurs is the count of a pair a level before, so rarer ones are never asked for. Contexts of over
+   `hot` occurrences are asked for in parts, by their next classes, so that none is too large for one task.
 4. A context is made longer unless only one class follows it (no longer one can pass then, at DIVERGENCE 1 or more),
    or more than LOOKAHEAD contexts in succession failed the test. There is no greatest length.
 5. A token is scored by its longest context that passes the test, while its block goes through the levels.
 
 Both counts are absolute, so words and contexts grow with the corpus (in one too small for them, the share
-WORD_PREVALENCE or PREVALENCE of all tokens is enough). Contexts and words beyond the rare are known by 64-bit hashes.
+WORD_PREVALENCE or PREVALENCE of all tokens is enough). Words are told apart exactly, contexts by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm._common import id_mod, prepare, settle
+from loam.llm._common import drop, id_mod, prepare, settle
 
 BLOCK_BYTES = 16 << 20
 CONTEXT_COUNT = 30
@@ -47,19 +52,74 @@ LOOKAHEAD = 2
 SIGNATURES = 254
 DIVERGENCE = 1.0
 HELD_OUT = (5, 1)
-#: Classes: the end of a text, what stands before its first word, then signatures; other words by their hash.
+#: Questions are dealt into RANGES at least, more where there is a range to every RANGE_TOKENS tokens.
+RANGES, RANGE_TOKENS = 64, 4 << 20
+#: Classes: the end of a text, what stands before its first word, then signatures; other words after those.
 END, BEGIN, FIRST = 0, 1, 2
+OWN = FIRST + SIGNATURES
 
 _FOLD = bytes(32 if x == 32 or 9 <= x <= 13 else x + 32 if 65 <= x <= 90 else x for x in range(256))
-_BLOCK = "block bigint, doc_ids array<bigint>, held array<boolean>, lengths array<int>, tokens binary, words array<binary>, counts array<bigint>"
+#: Rows of every intermediate table: of which block (ranges' own: -1), which range, how many tokens go on, what kind, packed arrays.
+_ROW = "block bigint, range bigint, alive bigint, body binary, kind string"
+_ROW_TYPE = pa.schema([("block", pa.int64()), ("range", pa.int64()), ("alive", pa.int64()), ("body", pa.binary()), ("kind", pa.string())])
+_ZSTD = pa.Codec("zstd", 3)
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """One row for each block of texts; rows: doc_id, text binary, held."""
+def pack(**values: object) -> bytes:
+    """Arrays and plain values as bytes: whole numbers in the fewest bytes, the planes of bytes together, compressed."""
+    parts: dict[str, object] = {}
+    for name, x in values.items():
+        if isinstance(x, np.ndarray) and x.ndim == 1 and x.dtype != bool:
+            if x.dtype.kind == "i" and len(x):  # unsigned ones are hashes
+                x = x.astype(np.promote_types(np.min_scalar_type(x.min()), np.min_scalar_type(x.max())))
+            parts[name] = (x.dtype.str, len(x), np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
+        elif isinstance(x, np.ndarray):
+            parts[name] = ("bits", len(x), np.packbits(x).tobytes())
+        else:
+            parts[name] = x
+    plain = pickle.dumps(parts, 5)
+    return len(plain).to_bytes(8, "little") + _ZSTD.compress(plain, asbytes=True)
+
+
+def unpack(body: bytes) -> dict:
+    """pack() reversed; whole numbers come back as 64 bits."""
+    out: dict[str, object] = {}
+    for name, x in pickle.loads(_ZSTD.decompress(body[8:], int.from_bytes(body[:8], "little"), asbytes=True)).items():
+        if isinstance(x, tuple) and x[0] == "bits":
+            x = np.unpackbits(np.frombuffer(x[2], np.uint8), count=x[1]).astype(bool)
+        elif isinstance(x, tuple):
+            kind, n = np.dtype(x[0]), x[1]
+            x = np.frombuffer(x[2], np.uint8).reshape(kind.itemsize, n).T.copy().view(kind).ravel() if n else np.empty(0, kind)
+            if kind.kind in "iu" and kind.itemsize < 8:
+                x = x.astype(np.int64)
+        out[name] = x
+    return out
+
+
+def _rows(found: list[tuple]) -> pa.Table:
+    return pa.Table.from_pylist([dict(zip(_ROW_TYPE.names, r, strict=True)) for r in found], _ROW_TYPE)
+
+
+def _bodies(table: pa.Table, by: str) -> list[tuple[int, dict]]:
+    """(block or range, unpacked body) of a table's rows, in order of that number."""
+    return sorted(zip(table[by].to_pylist(), map(unpack, table["body"].to_pylist()), strict=True), key=lambda x: x[0])
+
+
+def signature(word: bytes) -> int:
+    """A class number for a word that isn't frequent: by its last two bytes before punctuation, and whether there is any."""
+    bare = word.rstrip(b".,;:!?")
+    return zlib.crc32(bare[-2:] + b"." * (bare != word)) % SIGNATURES
+
+
+# words
+
+
+def _blocks(rows: DataFrame, ranges: int) -> DataFrame:
+    """A row of kind `block` for each block of texts, and its questions for words; rows: doc_id, text binary, held."""
 
     def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -71,13 +131,25 @@ def _blocks(rows: DataFrame) -> DataFrame:
         numbers: dict[bytes, int] = {}
         size = 0
 
-        def block() -> pa.RecordBatch:
+        def block() -> list[pa.RecordBatch]:
             vocabulary = list(numbers)
-            learned = [p for p, h in zip(parts, held, strict=True) if not h]
-            counts = np.bincount(np.concatenate([np.empty(0, np.int32), *learned]), minlength=len(vocabulary))
-            rows = {"block": [(task << 32) + made], "doc_ids": [ids], "held": [held], "lengths": [[len(p) for p in parts]], "tokens": [np.concatenate([np.empty(0, np.int32), *parts]).astype("<i4").tobytes()], "words": [vocabulary], "counts": [counts]}
-            kinds = {"block": pa.int64(), "doc_ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "lengths": pa.list_(pa.int32()), "tokens": pa.binary(), "words": pa.list_(pa.binary()), "counts": pa.list_(pa.int64())}
-            return pa.RecordBatch.from_pydict({k: pa.array(v, kinds[k]) for k, v in rows.items()})
+            at = np.fromiter((zlib.crc32(w) % ranges for w in vocabulary), np.int64, len(vocabulary))
+            order = np.argsort(at, kind="stable")  # words by range, and numbered so
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+            out = np.array(held, bool)
+            tokens = place[np.concatenate([np.empty(0, np.int64), *parts])]
+            counts = np.bincount(tokens[~np.repeat(out, lengths)], minlength=len(vocabulary))
+            learned = int(counts.sum())
+            number = (task << 32) + made
+            body = pack(ids=np.array([x or 0 for x in ids], np.int64), no_id=np.array([x is None for x in ids], bool), held=out, lengths=lengths, tokens=tokens, learned=learned, texts=int((~out).sum()))
+            found = [(number, -1, learned + int((~out).sum()), body, "block")]
+            cuts = np.searchsorted(at[order], np.arange(ranges + 1))
+            for r in np.flatnonzero(np.diff(cuts)).tolist():
+                mine = order[cuts[r] : cuts[r + 1]]
+                found.append((number, r, 0, pack(words=b" ".join([vocabulary[k] for k in mine.tolist()]), n=counts[cuts[r] : cuts[r + 1]]), "ask"))
+            return _rows(found).to_batches()
 
         for batch in given:
             for doc_id, text, out in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("held").to_pylist(), strict=True):
@@ -90,18 +162,44 @@ def _blocks(rows: DataFrame) -> DataFrame:
                 held.append(out)
                 size += len(raw) + 64
                 if size >= BLOCK_BYTES:
-                    yield block()
+                    yield from block()
                     made, size, ids, held, parts, numbers = made + 1, 0, [], [], [], {}
         if ids:
-            yield block()
+            yield from block()
 
-    return rows.mapInArrow(batches, _BLOCK)
+    return rows.mapInArrow(batches, _ROW)
 
 
-def signature(word: bytes) -> int:
-    """A class number for a word that isn't frequent: by its last two bytes before punctuation, and whether there is any."""
-    bare = word.rstrip(b".,;:!?")
-    return zlib.crc32(bare[-2:] + b"." * (bare != word)) % SIGNATURES
+def _word_answers(ranges: int, least: float) -> Callable[[pa.Table], pa.Table]:
+    """Counts c and classes of the words asked for; a row of kind `sum` tells of the range: distinct words and the classes' mass."""
+
+    def answer(asked: pa.Table) -> pa.Table:
+        r, questions = asked["range"][0].as_py(), _bodies(asked, "block")
+        total: Counter[bytes] = Counter()
+        lists = [q["words"].split(b" ") for _, q in questions]
+        for words, (_, q) in zip(lists, questions, strict=True):
+            for word, n in zip(words, q["n"].tolist(), strict=True):
+                total[word] += n
+        mass, own, classes, kinds, frequent = np.zeros(OWN), 0.0, {}, 0, 0
+        for word in sorted(total):
+            c = total[word]
+            kinds += c > 0
+            if c >= least:
+                classes[word] = OWN + frequent * ranges + r
+                frequent, own = frequent + 1, own + c + 0.5
+            else:
+                classes[word] = FIRST + signature(word)
+                mass[classes[word]] += (c + 0.5) * (c > 0)
+        found = [(-1, r, 0, pack(kinds=kinds, mass=mass, own=own), "sum")]
+        for words, (block, _) in zip(lists, questions, strict=True):
+            c = np.fromiter(map(total.__getitem__, words), np.int64, len(words))
+            found.append((block, r, 0, pack(c=c, symbol=np.fromiter(map(classes.__getitem__, words), np.int64, len(words))), "answer"))
+        return _rows(found)
+
+    return answer
+
+
+# contexts
 
 
 @dataclass
@@ -144,11 +242,6 @@ def _contexts(classes: np.ndarray, lengths: np.ndarray, depth: int) -> np.ndarra
     return out
 
 
-_STATE = "block bigint, score array<double>, docs array<int>, held array<boolean>, lengths array<int>, classes binary, symbols binary, live binary, p binary, best binary, hash binary, lag binary, inverse binary, context array<bigint>, next array<bigint>, n array<bigint>, lower array<double>"
-_KINDS = {"classes": "<i4", "symbols": "<i8", "live": "<i4", "p": "<f8", "best": "<f8", "hash": "<i8", "lag": "i1", "inverse": "<i4"}
-_LISTS = {"score": pa.float64(), "docs": pa.int32(), "held": pa.bool_(), "lengths": pa.int32(), "context": pa.int64(), "next": pa.int64(), "n": pa.int64(), "lower": pa.float64()}
-
-
 def least_count(count: int, share: float, tokens: int) -> float:
     """`count`, or in a small corpus the share of its tokens, two at least."""
     return max(2.0, min(count, share * tokens))
@@ -159,124 +252,279 @@ def _mixed(state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     x = state.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + symbol.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return (x ^ (x >> np.uint64(31))).astype(np.int64)
-
-
-def _started(held: np.ndarray, lengths: np.ndarray, classes: np.ndarray, symbols: np.ndarray, root: np.ndarray) -> dict:
-    """A block before the first level: all tokens have the empty context; root: the chance of each symbol."""
-    p = root[classes]
-    zero = np.zeros(len(classes), np.int64)
-    return {"score": np.zeros(len(lengths)), "docs": np.arange(len(lengths)), "held": held, "lengths": lengths, "classes": classes, "symbols": symbols, "live": np.arange(len(classes)), "p": p, "best": p, "hash": zero, "lag": zero}
-
-
-def _longer(s: dict, more: np.ndarray, level: int) -> dict:
-    """A block whose tokens go on to contexts of `level` classes where `more`; the others' scores are added up."""
-    lengths = s["lengths"].astype(np.int64)
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    place = np.arange(len(doc)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    more = more & (place[s["live"]] >= level - 1)
-    score = s["score"].copy()
-    np.add.at(score, s["docs"][doc[s["live"][~more]]], np.log10(s["best"][~more]))
-    live, p, best, lag = (s[k][more] for k in ("live", "p", "best", "lag"))
-    before = np.where(place[live] >= level, s["symbols"][s["classes"][np.maximum(live - level, 0)]], BEGIN)
-    state, after = _mixed(s["hash"][more], before), s["symbols"][s["classes"][live]]
-    _, first, inverse = np.unique(_mixed(state, after), return_index=True, return_inverse=True)
-    n = np.bincount(inverse, weights=~s["held"][doc[live]], minlength=len(first)).astype(np.int64)
-    stay = np.zeros(len(lengths), bool)  # texts that are done go
-    stay[doc[live]] = True
-    tokens = stay[doc] if len(doc) else np.zeros(0, bool)
-    moved = np.cumsum(tokens) - 1
-    return {
-        "score": score, "docs": s["docs"][stay], "held": s["held"][stay], "lengths": lengths[stay], "classes": s["classes"][tokens], "symbols": s["symbols"], "live": moved[live] if len(live) else live,
-        "p": p, "best": best, "hash": state, "lag": lag, "inverse": inverse, "context": state[first], "next": after[first], "n": n, "lower": p[first],
-    }
-
-
-def _packed(block: int, s: dict) -> pa.Table:
-    columns = {"block": pa.array([block], pa.int64())}
-    columns |= {k: pa.array([s[k].astype(t).tobytes()], pa.binary()) for k, t in _KINDS.items()}
-    columns |= {k: pa.array([s[k]], pa.list_(t)) for k, t in _LISTS.items()}
-    return pa.table({c.split()[0]: columns[c.split()[0]] for c in _STATE.split(", ")})
-
-
-def _level(state: DataFrame, least: float, divergence: float) -> tuple[DataFrame, DataFrame]:
-    """The blocks' pairs of context and next class (of, nth, context, next), and the decided: context, next, n, chance, passed, open."""
-    listed = state.select(F.col("block").alias("of"), F.posexplode(F.arrays_zip("context", "next", "n", "lower")).alias("nth", "at")).select("of", "nth", "at.*")
-    pairs = listed.groupBy("context", "next").agg(F.sum("n").alias("n"), F.max("lower").alias("lower"))
-    told = F.sum(F.col("n") * (F.log("n") - F.log("lower")))
-    contexts = pairs.where("n > 0").groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), told.alias("told")).where(F.col("total") >= least)
-    passed = F.col("told") - F.col("total") * F.log("total") > divergence * F.col("kinds")
-    chance = (F.col("n") + F.col("kinds") * F.col("lower")) / (F.col("total") + F.col("kinds"))
-    decided = pairs.join(contexts, "context").select("context", "next", "n", chance.alias("chance"), passed.alias("passed"), (F.col("kinds") > 1).alias("open"), "total", "kinds")
-    return listed.select("of", "nth", "context", "next"), decided
-
-
-def _advanced(state: DataFrame, listed: DataFrame, decided: DataFrame, level: int, lookahead: int) -> DataFrame:
-    """The blocks with contexts of `level` classes, from what was decided of the shorter ones."""
-
-    def go_on(_: tuple, block: pa.Table, given: pa.Table) -> pa.Table:
-        out = []
-        for row in range(block.num_rows):
-            s = {k: np.frombuffer(block[k][row].as_py(), t) for k, t in _KINDS.items()}
-            s |= {k: block[k][row].values.to_numpy(zero_copy_only=False) for k in ("score", "docs", "held", "lengths")}
-            size = block["size"][row].as_py()
-            chance, passed, opened = np.full(size, np.nan), np.zeros(size, bool), np.zeros(size, bool)
-            nth = given["nth"].to_numpy()
-            chance[nth] = given["chance"].to_numpy()
-            passed[nth], opened[nth] = given["passed"].to_numpy(), given["open"].to_numpy()
-            at = s["inverse"]
-            s["p"] = chance[at]
-            s["best"] = np.where(passed[at], chance[at], s["best"])
-            s["lag"] = np.where(passed[at], 0, np.minimum(s["lag"].astype(np.int64) + 1, 100))
-            out.append(_packed(block["block"][row].as_py(), _longer(s, opened[at] & (s["lag"] <= lookahead), level)))
-        return pa.concat_tables(out)
-
-    found = listed.join(decided, ["context", "next"]).select("of", "nth", "chance", "passed", "open")
-    kept = state.select("block", "score", "docs", "held", "lengths", *_KINDS, F.size("context").alias("size"))
-    return kept.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(go_on, _STATE)
-
-
-def levels(state: DataFrame, least: float, divergence: float = DIVERGENCE, lookahead: int = LOOKAHEAD) -> Iterator[tuple[DataFrame, DataFrame | None]]:
-    """The blocks and what was decided of their contexts, level by level; last the blocks of which no token goes on."""
-    level = 1
-    while state.select(F.max(F.size("context"))).first()[0]:
-        listed, decided = _level(state, least, divergence)
-        yield state, decided
-        level += 1
-        state = settle(_advanced(state, listed, decided, level, lookahead), "level")
-    yield state, None
+    return x ^ (x >> np.uint64(31))
+
+
+@dataclass
+class Block:
+    """A block between two levels.
+
+    score: of all its texts, what is decided so far. Of the texts not yet done: docs (which they are), lengths, held,
+    classes (their tokens as places in symbols, ascending class numbers), live (tokens that have contexts of `level`
+    classes), rare (tokens of which a context was too rare: every longer one is). Of each pair of context and next class
+    that live tokens have: lower (its chance after the shorter context) and best (after the longest that passed). Of
+    each context: lag (how many in succession failed) and bound (it occurs no more often).
+    """
+
+    level: int
+    score: np.ndarray
+    docs: np.ndarray
+    lengths: np.ndarray
+    held: np.ndarray
+    symbols: np.ndarray
+    classes: np.ndarray
+    live: np.ndarray
+    rare: np.ndarray
+    lower: np.ndarray
+    best: np.ndarray
+    lag: np.ndarray
+    bound: np.ndarray
+
+    def packed(self) -> bytes:
+        return pack(**self.__dict__)
+
+
+@dataclass
+class Pairs:
+    """What a block's live tokens have: contexts by hash, pairs of context and next class, and each token's pair."""
+
+    tokens: np.ndarray
+    place: np.ndarray
+    text: np.ndarray
+    context: np.ndarray
+    of: np.ndarray
+    next: np.ndarray
+    inverse: np.ndarray
+
+    def first(self) -> np.ndarray:
+        """A token of each pair (its place among the live)."""
+        out = np.empty(len(self.of), np.int64)
+        out[self.inverse[::-1]] = np.arange(len(self.inverse))[::-1]
+        return out
+
+
+def _pairs(lengths: np.ndarray, symbols: np.ndarray, classes: np.ndarray, live: np.ndarray, level: int) -> Pairs:
+    start = np.repeat(np.cumsum(lengths) - lengths, lengths)
+    tokens = np.flatnonzero(live)
+    place = tokens - start[tokens]
+    text = np.repeat(np.arange(len(lengths)), lengths)[tokens]
+    width = max(1, len(symbols))
+    if level == 1:  # the class before is the context
+        before = np.where(place >= 1, classes[np.maximum(tokens - 1, 0)], len(symbols))
+        used = np.flatnonzero(np.bincount(before, minlength=len(symbols) + 1))
+        known = _mixed(np.zeros(len(used), np.int64), np.append(symbols, BEGIN)[used])
+        by_hash = np.argsort(known)
+        rank = np.empty(len(symbols) + 1, np.int64)
+        rank[used[by_hash]] = np.arange(len(used))
+        context, of = known[by_hash], rank[before]
+    else:
+        state = np.zeros(len(tokens), np.uint64)
+        for back in range(1, level + 1):
+            state = _mixed(state, np.where(place >= back, symbols[classes[np.maximum(tokens - back, 0)]], BEGIN))
+        context, of = np.unique(state, return_inverse=True)
+    code, inverse = np.unique(of * width + classes[tokens], return_inverse=True)
+    return Pairs(tokens, place, text, context, code // width, code % width, inverse)
+
+
+@dataclass
+class Cells:
+    """How a block's pairs are asked for: contexts, or parts of hot ones, dealt into ranges and put in order there."""
+
+    key: np.ndarray  # of each cell, in order of range and key
+    context: np.ndarray  # which context it is of
+    cuts: np.ndarray  # where each range's cells begin
+    size: np.ndarray  # pairs of each cell
+    order: np.ndarray  # the pairs in order of cells, then of next class
+    cell: np.ndarray  # the cell of each pair
+
+
+def _cells(pairs: Pairs, symbols: np.ndarray, bound: np.ndarray, hot: float, ranges: int) -> Cells:
+    parts = 1 + (bound // hot).astype(np.int64)
+    base = np.cumsum(parts) - parts
+    context = np.repeat(np.arange(len(parts)), parts)
+    part = np.arange(len(context)) - base[context]
+    key = _mixed(pairs.context[context], part)
+    at = key % np.uint64(ranges)
+    order = np.lexsort((key, at))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    own = _mixed(np.zeros(len(pairs.next), np.int64), symbols[pairs.next]) % parts[pairs.of].astype(np.uint64)
+    cell = rank[base[pairs.of] + own.astype(np.int64)]
+    cuts = np.searchsorted(at[order], np.arange(ranges + 1))
+    return Cells(key[order], context[order], cuts, np.bincount(cell, minlength=len(key)), np.argsort(cell, kind="stable"), cell)
+
+
+def _questions(number: int, block: Block, pairs: Pairs, hot: float, ranges: int) -> list[tuple]:
+    """A row of kind `ask` for each range that the block has cells in."""
+    if not len(pairs.tokens):
+        return []
+    cells = _cells(pairs, block.symbols, block.bound, hot, ranges)
+    n = np.bincount(pairs.inverse, weights=~block.held[pairs.text], minlength=len(pairs.of)).astype(np.int64)
+    told = np.bincount(cells.cell, weights=n * np.log(block.lower.astype(float)), minlength=len(cells.key))
+    following, n = block.symbols[pairs.next][cells.order], n[cells.order]
+    stop = np.append(0, np.cumsum(cells.size))
+    out = []
+    for r in np.flatnonzero(np.diff(cells.cuts)).tolist():
+        a, b = cells.cuts[r], cells.cuts[r + 1]
+        mine = slice(stop[a], stop[b])
+        out.append((number, r, 0, pack(key=cells.key[a:b], size=cells.size[a:b], told=told[a:b], next=np.diff(following[mine], prepend=0), n=n[mine]), "ask"))
+    return out
+
+
+def _answers(asked: pa.Table) -> pa.Table:
+    """Of each pair asked for its count n in all blocks; of each cell total, kinds (classes seen next) and told.
+
+    told: the sum of n (log n - log lower) over the cell's pairs. Blocks are summed in the order of their numbers.
+    """
+    r, questions = asked["range"][0].as_py(), _bodies(asked, "block")
+    sizes = [q["size"] for _, q in questions]
+    keys, cell = np.unique(np.concatenate([q["key"] for _, q in questions]), return_inverse=True)
+    lower = np.bincount(cell, weights=np.concatenate([q["told"] for _, q in questions]), minlength=len(keys))
+    code = np.repeat(cell, np.concatenate(sizes)) << 32 | np.concatenate([np.cumsum(q["next"]) for _, q in questions])
+    pair, inverse = np.unique(code, return_inverse=True)
+    n = np.bincount(inverse, weights=np.concatenate([q["n"] for _, q in questions]), minlength=len(pair)).astype(np.int64)
+    of = pair >> 32
+    total = np.bincount(of, weights=n, minlength=len(keys)).astype(np.int64)
+    kinds = np.bincount(of, weights=n > 0, minlength=len(keys)).astype(np.int64)
+    told = np.bincount(of, weights=n * np.log(np.maximum(n, 1)), minlength=len(keys)) - lower
+    found, at, pairs_at = [], 0, 0
+    for (block, q), size in zip(questions, sizes, strict=True):
+        mine, own = cell[at : at + len(size)], inverse[pairs_at : pairs_at + len(q["next"])]
+        at, pairs_at = at + len(size), pairs_at + len(q["next"])
+        found.append((block, r, 0, pack(n=n[own], total=total[mine], kinds=kinds[mine], told=told[mine]), "answer"))
+    return _rows(found)
+
+
+def _passes(total: np.ndarray, kinds: np.ndarray, told: np.ndarray, least: float, divergence: float) -> np.ndarray:
+    return (total >= least) & (told - total * np.log(np.maximum(total, 1)) > divergence * kinds)
+
+
+def _begun(lengths: np.ndarray, held: np.ndarray, symbols: np.ndarray, classes: np.ndarray, chance: np.ndarray, count: np.ndarray) -> tuple[Block, Pairs]:
+    """A block at level 1; chance and count: of each symbol, and the count of BEGIN last."""
+    live, n = np.ones(len(classes), bool), len(lengths)
+    pairs = _pairs(lengths, symbols, classes, live, 1)
+    hashes = _mixed(np.zeros(len(symbols) + 1, np.int64), np.append(symbols, BEGIN))
+    by_hash = np.argsort(hashes)
+    bound = count[by_hash[np.searchsorted(hashes[by_hash], pairs.context)]]
+    lower = chance[pairs.next].astype(np.float32)
+    return Block(1, np.zeros(n), np.arange(n), lengths, held, symbols, classes, live, ~live, lower, lower, np.zeros(len(pairs.context), np.int64), bound), pairs
+
+
+def _advanced(block: Block, answers: list[tuple[int, dict]], least: float, divergence: float, lookahead: int, hot: float, ranges: int) -> tuple[Block, Pairs]:
+    """The block at the next level, by the answers to what it asked, and its pairs there. Texts that are done go."""
+    pairs = _pairs(block.lengths, block.symbols, block.classes, block.live, block.level)
+    if not len(pairs.tokens):
+        return block, pairs
+    cells = _cells(pairs, block.symbols, block.bound, hot, ranges)
+    n = np.empty(len(pairs.of), np.int64)
+    n[cells.order] = np.concatenate([a["n"] for _, a in answers])
+    total, kinds, told = (np.bincount(cells.context, weights=np.concatenate([a[k] for _, a in answers]), minlength=len(pairs.context)) for k in ("total", "kinds", "told"))
+    passed = _passes(total, kinds, told, least, divergence)
+    chance = (n + kinds[pairs.of] * block.lower) / np.maximum(total + kinds, 1)[pairs.of]
+    best = np.where(passed[pairs.of], chance, block.best)
+    lag = np.where(passed, 0, block.lag + 1)
+    # which contexts go on, and where the one longer by a class is frequent enough: its count is that of the pair before
+    frequent, opened = total >= least, (total >= least) & (kinds > 1) & (lag <= lookahead)
+    of = pairs.of[pairs.inverse]
+    go = opened[of] & (pairs.place >= block.level)
+    rare, known = block.rare.copy(), np.full(len(block.classes), -1, np.int64)
+    rare[pairs.tokens[~frequent[of]]] = True
+    known[pairs.tokens] = n[pairs.inverse]
+    before = np.maximum(pairs.tokens - 1, 0)
+    too_rare = go & (block.rare[before] | (known[before] >= 0) & (known[before] < least))
+    rare[pairs.tokens[too_rare]] = True
+    go &= ~too_rare
+    most = np.where(known[before] >= 0, known[before], total[of].astype(np.int64))
+    score = block.score + np.bincount(block.docs[pairs.text[~go]], weights=np.log10(best[pairs.inverse[~go]]), minlength=len(block.score))
+    stay = np.zeros(len(block.lengths), bool)
+    stay[pairs.text[go]] = True
+    kept = np.repeat(stay, block.lengths)
+    live = np.zeros(len(block.classes), bool)
+    live[pairs.tokens[go]] = True
+    out = Block(block.level + 1, score, block.docs[stay], block.lengths[stay], block.held[stay], block.symbols, block.classes[kept], live[kept], rare[kept], *[np.empty(0)] * 4)
+    longer = _pairs(out.lengths, out.symbols, out.classes, out.live, out.level)
+    first = longer.first()
+    was = pairs.inverse[go][first]
+    out.lower, out.best = chance[was].astype(np.float32), best[was].astype(np.float32)
+    some = np.empty(len(longer.context), np.int64)  # a pair of each context
+    some[longer.of[::-1]] = np.arange(len(longer.of))[::-1]
+    out.lag, out.bound = lag[pairs.of[was[some]]], most[go][first[some]]
+    return out, longer
+
+
+def _state(number: int, block: Block, pairs: Pairs, hot: float, ranges: int) -> list[tuple]:
+    return [(number, -1, len(pairs.tokens), block.packed(), "state"), *_questions(number, block, pairs, hot, ranges)]
+
+
+def _of(rows: DataFrame, kind: str) -> DataFrame:
+    return rows.where(F.col("kind") == kind)
+
+
+def _asked(rows: DataFrame, answer: Callable[[pa.Table], pa.Table], label: str) -> DataFrame:
+    return settle(_of(rows, "ask").groupBy("range").applyInArrow(answer, _ROW), label, "kind")
+
+
+def levels(rows: DataFrame, least: float, hot: float, ranges: int, divergence: float = DIVERGENCE, lookahead: int = LOOKAHEAD) -> Iterator[tuple[DataFrame, DataFrame | None]]:
+    """The blocks with their questions, and the answers, level by level; last the blocks of which no token goes on.
+
+    Tables of a level are deleted when the next one is written. One number for each level goes to the driver.
+    """
+
+    def go_on(_: tuple, state: pa.Table, given: pa.Table) -> pa.Table:
+        number, answers = state["block"][0].as_py(), _bodies(given, "range")
+        block = Block(**unpack(state["body"][0].as_py()))
+        return _rows(_state(number, *_advanced(block, answers, least, divergence, lookahead, hot, ranges), hot, ranges))
+
+    while _of(rows, "state").agg(F.sum("alive")).first()[0]:
+        answers = _asked(rows, _answers, "answers")
+        yield rows, answers
+        longer = _of(rows, "state").groupBy("block").cogroup(_of(answers, "answer").groupBy("block"))
+        new = settle(longer.applyInArrow(go_on, _ROW), "level", "kind")
+        drop(rows)
+        drop(answers)
+        rows = new
+    yield rows, None
 
 
 def grow(coded: DataFrame, mass: np.ndarray, tokens: int, depth: int = 3, prevalence: float = PREVALENCE, divergence: float = DIVERGENCE) -> Tree:
     """The contexts of up to `depth` classes that pass and those they extend, in memory: to look into small models. coded: classes, lengths, held."""
-    width, root = len(mass), mass / mass.sum()
+    width, root, least, ranges = len(mass), mass / mass.sum(), least_count(CONTEXT_COUNT, prevalence, tokens), 4
 
     def start(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in given:
             for row in range(batch.num_rows):
                 classes = np.frombuffer(batch.column("classes")[row].as_py(), "<i2").astype(np.int64)
                 lengths, held = (batch.column(k)[row].values.to_numpy(zero_copy_only=False) for k in ("lengths", "held"))
-                s = _started(held, lengths, classes, np.arange(width), root)
-                yield from _packed(0, _longer(s, np.ones(len(classes), bool), 1)).to_batches()
+                begun = _begun(lengths.astype(np.int64), held, np.arange(width), classes, root, np.full(width + 1, tokens))
+                yield from _rows(_state(batch.column("block")[row].as_py(), *begun, math.inf, ranges)).to_batches()
 
-    state = coded.select("classes", "lengths", "held").mapInArrow(start, _STATE).withColumn("block", F.monotonically_increasing_id())
+    numbered = coded.select("classes", "lengths", "held", F.monotonically_increasing_id().alias("block"))
+    rows = settle(numbered.mapInArrow(start, _ROW), "level", "kind")
     known: dict[int, dict] = {}
-    for _, decided in islice(levels(settle(state, "level"), least_count(CONTEXT_COUNT, prevalence, tokens), divergence), depth):
-        for r in decided.collect() if decided is not None else []:
-            at = known.setdefault(r["context"], {"n": np.zeros(width), "passed": r["passed"]})
-            at["n"][r["next"]] = r["n"]
+    for level, (asked, answered) in enumerate(levels(rows, least, math.inf, ranges, divergence)):
+        if answered is None or level == depth:
+            break
+        said = {(r["block"], r["range"]): unpack(r["body"]) for r in _of(answered, "answer").collect()}
+        for r in _of(asked, "ask").collect():
+            question, a = unpack(r["body"]), said[r["block"], r["range"]]
+            passed, following = _passes(a["total"], a["kinds"], a["told"], least, divergence), np.cumsum(question["next"])
+            cell = np.repeat(np.arange(len(question["size"])), question["size"])
+            for k in np.flatnonzero(a["total"] >= least).tolist():
+                at = known.setdefault(int(question["key"][k]), {"n": np.zeros(width), "passed": bool(passed[k])})
+                at["n"][following[cell == k]] = a["n"][cell == k]
     moves, chance = [], []
 
-    def add(state: int, lower: np.ndarray) -> int:
+    def add(state: int, key: int | None, lower: np.ndarray) -> int:
         own = len(moves)
         moves.append(np.full(width, -1, np.int32))
         chance.append(lower)
-        stays = state == 0 or known[state]["passed"]
-        for symbol, to in enumerate(_mixed(np.full(width, state), np.arange(width)).tolist()):
-            if to in known:
-                n = known[to]["n"]
+        stays = key is None or known[key]["passed"]
+        hashes = _mixed(np.full(width, state, np.uint64), np.arange(width))
+        for symbol, (to, key_to) in enumerate(zip(hashes.tolist(), _mixed(hashes, np.zeros(width, np.int64)).tolist(), strict=True)):
+            if key_to in known:
+                n = known[key_to]["n"]
                 kinds = (n > 0).sum()
-                below = add(to, (n + kinds * lower) / (n.sum() + kinds))
+                below = add(to, key_to, (n + kinds * lower) / (n.sum() + kinds))
                 moves[own][symbol] = below
                 stays |= below >= 0
         if not stays:
@@ -284,13 +532,10 @@ def grow(coded: DataFrame, mass: np.ndarray, tokens: int, depth: int = 3, preval
             return -1
         return own
 
-    add(0, root)
+    add(0, None, root)
     return Tree(np.array(moves), np.array(chance))
 
 
-_CODED = _STATE + ", doc_ids array<bigint>, out array<boolean>, sizes array<int>, known array<bigint>, base array<double>, inner array<double>"
-
-
 def score_documents(documents: DataFrame, held_out: tuple[int, int] = HELD_OUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
@@ -299,77 +544,73 @@ def score_documents(documents: DataFrame, held_out: tuple[int, int] = HELD_OUT,
     """
     spark = prepare(documents.sparkSession)
     held = id_mod(F.col(id_col), held_out[0]) == held_out[1]
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), held.alias("held"))
-    blocks = settle(_blocks(rows), "blocks")
-    texts = blocks.select(F.sum(F.size(F.filter("held", lambda x: ~x)))).first()[0] or 0
-    listed = blocks.select(F.col("block").alias("of"), F.posexplode(F.arrays_zip("words", "counts")).alias("nth", "at"))
-    listed = listed.select("of", "nth", F.col("at.words").alias("word"), F.col("at.counts").alias("n"))
-    counted = settle(listed.groupBy("word").agg(F.sum("n").alias("c")), "words")
-    totals = counted.where("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    tokens, kinds = (totals["n"] or 0) + texts, totals["v"] + bool(texts)
-    own = F.col("c") >= least_count(WORD_COUNT, WORD_PREVALENCE, tokens)
-
-    def signed(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    given = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), held.alias("held"))
+    size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(RANGES, size // (4 * RANGE_TOKENS))
+    rows = settle(_blocks(given, ranges), "blocks", "kind")
+
+    def counted(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in given:
-            found = [FIRST + signature(w) for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"word": batch.column("word"), "c": batch.column("c"), "class": pa.array(found, pa.int64())})
+            bodies = [unpack(x.as_py()) for x in batch.column("body")]
+            yield pa.RecordBatch.from_pydict({"learned": pa.array([x["learned"] for x in bodies], pa.int64()), "texts": pa.array([x["texts"] for x in bodies], pa.int64())})
+
+    totals = _of(rows, "block").mapInArrow(counted, "learned bigint, texts bigint").agg(F.sum("learned").alias("n"), F.sum("texts").alias("texts")).first()
+    texts = totals["texts"] or 0
+    tokens = (totals["n"] or 0) + texts
+    answers = _asked(rows, _word_answers(ranges, least_count(WORD_COUNT, WORD_PREVALENCE, tokens)), "words")
 
-    rare = counted.where(~own).mapInArrow(signed, "word binary, c bigint, class bigint")
-    mass = np.full(FIRST + SIGNATURES, 0.5)
-    for r in rare.where("c > 0").groupBy("class").agg(F.sum(F.col("c") + 0.5).alias("m")).collect():
+    def summed(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in given:
+            bodies = [unpack(x.as_py()) for x in batch.column("body")]
+            if bodies:
+                mass = np.sum([x["mass"] for x in bodies], axis=0)
+                yield pa.RecordBatch.from_pydict({"kinds": pa.array([sum(x["kinds"] for x in bodies)], pa.int64()), "own": pa.array([float(sum(x["own"] for x in bodies))], pa.float64()), "mass": pa.array([mass], pa.list_(pa.float64()))})
+
+    sums = _of(answers, "sum").mapInArrow(summed, "kinds bigint, own double, mass array<double>")  # a few numbers a task, then one row for each class
+    whole_sums = sums.agg(F.sum("kinds").alias("kinds"), F.sum("own").alias("own")).first()
+    mass = np.full(OWN, 0.5)
+    for r in sums.select(F.posexplode("mass").alias("class", "m")).groupBy("class").agg(F.sum("m").alias("m")).collect():
         mass[r["class"]] += r["m"]
     mass[END], mass[BEGIN] = texts + 0.5, 1e-9  # nothing is followed by a beginning
-    whole = mass.sum() + (counted.where(own).agg(F.sum(F.col("c") + 0.5)).first()[0] or 0.0)
-    words = rare.union(counted.where(own).select("word", "c", F.xxhash64("word").alias("class")))
-    floor = tokens + 0.5 * (kinds + 1)
+    whole = mass.sum() + (whole_sums["own"] or 0.0)
+    floor = tokens + 0.5 * ((whole_sums["kinds"] or 0) + bool(texts) + 1)
     end_base = math.log10((texts + 0.5) / floor)
+    hot = max(1.0, tokens / ranges)
 
     def coded(_: tuple, block: pa.Table, given: pa.Table) -> pa.Table:
-        nth = given["nth"].to_numpy()
-        c, kind = np.zeros(len(nth), np.int64), np.zeros(len(nth), np.int64)
-        c[nth], kind[nth] = given["c"].to_numpy(), given["class"].to_numpy()
-        base = np.log10((c + 0.5) / floor)
+        number, found = block["block"][0].as_py(), [a for _, a in _bodies(given, "range")]
+        s = unpack(block["body"][0].as_py())
+        none = np.empty(0, np.int64)
+        c, kind = (np.concatenate([none, *[a[k] for a in found]]) for k in ("c", "symbol"))
         symbols, local = np.unique(np.append(kind, END), return_inverse=True)
         weight = np.zeros(len(symbols))
         weight[local[:-1]] = c + 0.5
-        shared = (symbols >= 0) & (symbols < len(mass))
+        shared = symbols < OWN
         weight[shared] = mass[symbols[shared]]
-        inner = np.log10(c + 0.5) - np.log10(weight[local[:-1]])
-        out = []
-        for row in range(block.num_rows):
-            numbers = np.frombuffer(block["tokens"][row].as_py(), "<i4")
-            lengths = np.array(block["lengths"][row].as_py(), np.int64)
-            stop = np.cumsum(lengths)
-            classes = np.full(len(numbers) + len(lengths), local[-1])
-            classes[np.arange(len(numbers)) + np.repeat(np.arange(len(lengths)), lengths)] = local[numbers]
-
-            def total(values: np.ndarray, numbers: np.ndarray = numbers, lengths: np.ndarray = lengths, stop: np.ndarray = stop) -> list:
-                sums = np.zeros(len(lengths), values.dtype)
-                full = lengths > 0
-                if full.any():
-                    sums[full] = np.add.reduceat(values[numbers], (stop - lengths)[full])
-                return sums
-
-            held = block["held"][row].values.to_numpy(zero_copy_only=False)
-            s = _longer(_started(held, lengths + 1, classes, symbols, weight / whole), np.ones(len(classes), bool), 1)
-            extra = {
-                "doc_ids": block["doc_ids"].slice(row, 1), "out": block["held"].slice(row, 1), "sizes": pa.array([lengths + 1], pa.list_(pa.int32())),
-                "known": pa.array([total((c > 0).astype(np.int64)) + (texts > 0)], pa.list_(pa.int64())),
-                "base": pa.array([total(base) + end_base], pa.list_(pa.float64())), "inner": pa.array([total(inner)], pa.list_(pa.float64())),
-            }
-            packed = _packed(block["block"][row].as_py(), s)
-            for k, v in extra.items():
-                packed = packed.append_column(k, v)
-            out.append(packed)
-        return pa.concat_tables(out)
-
-    found = listed.select("of", "nth", F.col("word").alias("listed")).join(words, F.col("listed") == F.col("word")).select("of", "nth", "c", "class")
-    kept = blocks.select("block", "doc_ids", "held", "lengths", "tokens")
-    codes = settle(kept.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(coded, _CODED), "coded")
-    names = [c.split()[0] for c in _STATE.split(", ")]
-    for state, _ in levels(codes.select(*names), least_count(CONTEXT_COUNT, PREVALENCE, tokens)):
+        base, inner = np.log10((c + 0.5) / floor), np.log10(c + 0.5) - np.log10(weight[local[:-1]])
+        lengths, tokens_at = s["lengths"], s["tokens"]
+        text = np.repeat(np.arange(len(lengths)), lengths)
+        classes = np.full(len(tokens_at) + len(lengths), local[-1])
+        classes[np.arange(len(tokens_at)) + text] = local[tokens_at]
+        known, base, inner = (np.bincount(text, weights=x[tokens_at], minlength=len(lengths)) for x in (c > 0, base, inner))
+        begun = _begun(lengths + 1, s["held"], symbols, classes, weight / whole, np.append(weight, texts).astype(np.int64))
+        about = pack(ids=s["ids"], no_id=s["no_id"], held=s["held"], sizes=lengths + 1, known=known.astype(np.int64) + (texts > 0), base=base + end_base, inner=inner)
+        return _rows([(number, -1, 0, about, "about"), *_state(number, *begun, hot, ranges)])
+
+    codes = settle(_of(rows, "block").groupBy("block").cogroup(_of(answers, "answer").groupBy("block")).applyInArrow(coded, _ROW), "coded", "kind")
+    drop(rows)
+    drop(answers)
+    about = settle(_of(codes, "about").select("block", "body"), "about")  # stays when the levels' tables go
+    for state, _ in levels(codes, least_count(CONTEXT_COUNT, PREVALENCE, tokens), hot, ranges):
         pass
-    texts_of = codes.select("block", F.arrays_zip("doc_ids", "out", "sizes", "known", "base", "inner").alias("text"))
-    scored = texts_of.join(state.select("block", "score"), "block").select(F.explode(F.arrays_zip("text", "score")).alias("x")).select("x.text.*", "x.score")
-    score = F.col("score") + F.col("inner")
-    return scored.select(F.col("doc_ids").alias("doc_id"), F.col("out").alias("held_out"), F.col("sizes").cast("long").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), score.alias("score"))
+
+    def scored(_: tuple, told: pa.Table, done: pa.Table) -> pa.Table:
+        a, s = unpack(told["body"][0].as_py()), unpack(done["body"][0].as_py())
+        n = len(a["ids"])
+        return pa.table({
+            "doc_id": pa.array(a["ids"], pa.int64(), mask=a["no_id"]), "held_out": pa.array(a["held"], pa.bool_()), "n_tokens": pa.array(a["sizes"], pa.int64()), "n_known": pa.array(a["known"], pa.int64()),
+            "train_tokens": pa.array(np.full(n, tokens), pa.int64()), "base_score": pa.array(a["base"], pa.float64()), "score": pa.array(s["score"] + a["inner"], pa.float64()),
+        })
+
+    out = about.groupBy("block").cogroup(_of(state, "state").select("block", "body").groupBy("block"))
+    return out.applyInArrow(scored, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -123,8 +123,26 @@ def settle(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     return out
 
 
+def settle_dealt(df: DataFrame, label: str, by: str, key: str, buckets: int) -> DataFrame:
+    """settle() in folders by one column and dealt into buckets by another: what groups by that key doesn't shuffle it.
+
+    Buckets need an entry in the session's catalog: drop() such a table when it is done with.
+    """
+    spark = df.sparkSession
+    name = f"loam_{label}_{uuid.uuid4().hex}"
+    path = f"{_run_dir(spark)}/{name}"
+    writer = df.write.option("compression", "zstd").option("path", path).format("parquet").partitionBy(by).bucketBy(buckets, key)
+    with settings(spark, _DROP_SHUFFLES):
+        writer.saveAsTable(name)
+    out = spark.table(name)
+    out._loam_path, out._loam_name = path, name
+    return out
+
+
 def drop(settled: DataFrame) -> None:
-    """Deletes a table made by settle() that nothing will read any more."""
+    """Deletes a table made by settle() or settle_dealt() that nothing will read any more."""
+    if name := getattr(settled, "_loam_name", None):
+        settled.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
     _delete(settled.sparkSession, settled._loam_path)
 
 

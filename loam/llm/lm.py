@@ -10,11 +10,12 @@ this is the unigram base; what contexts tell (a language, a style, a phrase, an
    numbers of those words. Blocks ask for what they need to know, and are answered: questions are dealt out by hash
    into ranges, one row for each block and range, as packed arrays; whoever has a range sums up what all blocks say and
    answers each in the order of its question. So what moves between machines is about a byte or two for each distinct
-   thing in a block, and no key's rows meet one by one.
+   thing in a block, and no key's rows meet one by one. Blocks themselves stay where they are: their tables are dealt
+   into buckets by block, to which the answers go.
 2. Words are asked for first: their counts in the whole corpus, which give the base, the classes and the shares.
 3. The tree grows a level at a time: blocks ask for their distinct pairs of context and next class, and learn the counts
    of the pairs and, of each context, how many classes follow it and how far it diverges from the shorter context. A
-   context needs CONTEXT_COUNT occurrences, and counts where its next classes differ from the shorter context's by the
+   context needs least_context() occurrences, and counts where its next classes differ from the shorter context's by the
    divergence test (count times Kullback-Leibler divergence over DIVERGENCE nats for each class seen next).
    Distributions are smoothed towards the shorter context's by as many pseudo-counts as classes were seen next. How
    often a context occurs is the count of a pair a level before, so rarer ones are never asked for. Contexts of over
@@ -23,8 +24,9 @@ this is the unigram base; what contexts tell (a language, a style, a phrase, an
    or more than LOOKAHEAD contexts in succession failed the test. There is no greatest length.
 5. A token is scored by its longest context that passes the test, while its block goes through the levels.
 
-Both counts are absolute, so words and contexts grow with the corpus (in one too small for them, the share
-WORD_PREVALENCE or PREVALENCE of all tokens is enough). Words are told apart exactly, contexts by 64-bit hashes.
+Words need a fixed count to be themselves (in a small corpus the share WORD_PREVALENCE). A context's least count grows as
+the corpus to the power of two thirds, so contexts grow with the corpus, but slower: with a fixed count, ever more
+tokens would have ever longer contexts, and what is asked for a token would grow without bound. Words are told apart exactly, contexts by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -41,9 +43,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm._common import drop, id_mod, prepare, settle
+from loam.llm._common import drop, id_mod, prepare, settle, settle_dealt
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 CONTEXT_COUNT = 30
 PREVALENCE = 3e-4
 WORD_COUNT = 100
@@ -53,7 +55,9 @@ SIGNATURES = 254
 DIVERGENCE = 1.0
 HELD_OUT = (5, 1)
 #: Questions are dealt into RANGES at least, more where there is a range to every RANGE_TOKENS tokens.
-RANGES, RANGE_TOKENS = 64, 4 << 20
+RANGES, RANGE_TOKENS = 16, 2 << 20
+#: Buckets that blocks are dealt into: two to a block, up to so many.
+MOST_BUCKETS = 20_000
 #: Classes: the end of a text, what stands before its first word, then signatures; other words after those.
 END, BEGIN, FIRST = 0, 1, 2
 OWN = FIRST + SIGNATURES
@@ -65,10 +69,6 @@ _ROW_TYPE = pa.schema([("block", pa.int64()), ("range", pa.int64()), ("alive", p
 _ZSTD = pa.Codec("zstd", 3)
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(_FOLD).split()
-
-
 def pack(**values: object) -> bytes:
     """Arrays and plain values as bytes: whole numbers in the fewest bytes, the planes of bytes together, compressed."""
     parts: dict[str, object] = {}
@@ -100,6 +100,14 @@ def unpack(body: bytes) -> dict:
     return out
 
 
+def _by_frequency(numbers: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers below `many` told by how frequent they are, which takes less room, and what those mean."""
+    often = np.argsort(-np.bincount(numbers, minlength=many), kind="stable")
+    rank = np.empty(many, np.int64)
+    rank[often] = np.arange(many)
+    return rank[numbers], often
+
+
 def _rows(found: list[tuple]) -> pa.Table:
     return pa.Table.from_pylist([dict(zip(_ROW_TYPE.names, r, strict=True)) for r in found], _ROW_TYPE)
 
@@ -118,32 +126,44 @@ def signature(word: bytes) -> int:
 # words
 
 
+def _numbered(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of texts, all words in turn as numbers of those, and how many each text has."""
+    joined = np.frombuffer(b" ".join(texts).translate(_FOLD), np.uint8)
+    inside = joined != 32
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    begin, end = edges[::2], edges[1::2]
+    offsets = np.append(0, np.cumsum(end - begin))
+    plain = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(joined[inside])])
+    coded = plain.dictionary_encode()
+    stop = np.cumsum([len(x) + 1 for x in texts])
+    lengths = np.diff(np.searchsorted(begin, stop), prepend=0)
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), lengths
+
+
 def _blocks(rows: DataFrame, ranges: int) -> DataFrame:
     """A row of kind `block` for each block of texts, and its questions for words; rows: doc_id, text binary, held."""
 
     def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, made = TaskContext.get().partitionId(), 0
+        task, made, size = TaskContext.get().partitionId(), 0, 0
         ids: list = []
         held: list[bool] = []
-        parts: list[np.ndarray] = []
-        numbers: dict[bytes, int] = {}
-        size = 0
+        texts: list[bytes] = []
 
         def block() -> list[pa.RecordBatch]:
-            vocabulary = list(numbers)
+            vocabulary, numbers, lengths = _numbered(texts)
             at = np.fromiter((zlib.crc32(w) % ranges for w in vocabulary), np.int64, len(vocabulary))
             order = np.argsort(at, kind="stable")  # words by range, and numbered so
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
-            lengths = np.fromiter(map(len, parts), np.int64, len(parts))
             out = np.array(held, bool)
-            tokens = place[np.concatenate([np.empty(0, np.int64), *parts])]
+            tokens = place[numbers]
             counts = np.bincount(tokens[~np.repeat(out, lengths)], minlength=len(vocabulary))
             learned = int(counts.sum())
             number = (task << 32) + made
-            body = pack(ids=np.array([x or 0 for x in ids], np.int64), no_id=np.array([x is None for x in ids], bool), held=out, lengths=lengths, tokens=tokens, learned=learned, texts=int((~out).sum()))
+            told, often = _by_frequency(tokens, len(vocabulary))
+            body = pack(ids=np.array([x or 0 for x in ids], np.int64), no_id=np.array([x is None for x in ids], bool), held=out, lengths=lengths, tokens=told, often=often, learned=learned, texts=int((~out).sum()))
             found = [(number, -1, learned + int((~out).sum()), body, "block")]
             cuts = np.searchsorted(at[order], np.arange(ranges + 1))
             for r in np.flatnonzero(np.diff(cuts)).tolist():
@@ -152,18 +172,14 @@ def _blocks(rows: DataFrame, ranges: int) -> DataFrame:
             return _rows(found).to_batches()
 
         for batch in given:
-            for doc_id, text, out in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("held").to_pylist(), strict=True):
-                raw = text.as_py()
-                split = words_of(raw)
-                for word in dict.fromkeys(split):
-                    numbers.setdefault(word, len(numbers))
-                parts.append(np.fromiter(map(numbers.__getitem__, split), np.int32, len(split)))
+            for doc_id, text, out in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("held").to_pylist(), strict=True):
                 ids.append(doc_id)
                 held.append(out)
-                size += len(raw) + 64
+                texts.append(text)
+                size += len(text) + 64
                 if size >= BLOCK_BYTES:
                     yield from block()
-                    made, size, ids, held, parts, numbers = made + 1, 0, [], [], [], {}
+                    made, size, ids, held, texts = made + 1, 0, [], [], []
         if ids:
             yield from block()
 
@@ -242,6 +258,11 @@ def _contexts(classes: np.ndarray, lengths: np.ndarray, depth: int) -> np.ndarra
     return out
 
 
+def least_context(tokens: int) -> float:
+    """How often a context must occur in so many tokens: 30 times in 27 million, 300 times in 860 million."""
+    return max(2.0, tokens ** (2 / 3) / 3000)
+
+
 def least_count(count: int, share: float, tokens: int) -> float:
     """`count`, or in a small corpus the share of its tokens, two at least."""
     return max(2.0, min(count, share * tokens))
@@ -262,11 +283,12 @@ class Block:
     score: of all its texts, what is decided so far. Of the texts not yet done: docs (which they are), lengths, held,
     classes (their tokens as places in symbols, ascending class numbers), live (tokens that have contexts of `level`
     classes), rare (tokens of which a context was too rare: every longer one is). Of each pair of context and next class
-    that live tokens have: lower (its chance after the shorter context) and best (after the longest that passed). Of
-    each context: lag (how many in succession failed) and bound (it occurs no more often).
+    that live tokens have (at level 1 of each symbol, for any context): lower (its chance after the shorter context, to
+    15 bits, which is what moves between levels) and best (after the longest that passed, likewise). Of each context: lag (how many in succession failed) and bound (it occurs no more often). ranges: in which it asks.
     """
 
     level: int
+    ranges: int
     score: np.ndarray
     docs: np.ndarray
     lengths: np.ndarray
@@ -280,8 +302,27 @@ class Block:
     lag: np.ndarray
     bound: np.ndarray
 
+    def chances(self, pairs: Pairs) -> tuple[np.ndarray, np.ndarray]:
+        """lower and best of each pair."""
+        return (self.lower[pairs.next], self.best[pairs.next]) if self.level == 1 else (self.lower, self.best)
+
     def packed(self) -> bytes:
-        return pack(**self.__dict__)
+        classes, often = _by_frequency(self.classes, len(self.symbols))
+        unlike = self.best != self.lower
+        return pack(**self.__dict__ | {"classes": classes, "best": self.best[unlike]}, often=often, unlike=unlike)
+
+    @staticmethod
+    def unpacked(body: bytes) -> Block:
+        found = unpack(body)
+        found["classes"] = found.pop("often")[found["classes"]]
+        best = found["lower"].copy()
+        best[found.pop("unlike")] = found["best"]
+        return Block(**found | {"best": best})
+
+
+def _short(chance: np.ndarray) -> np.ndarray:
+    """Chances to 15 bits: 32-bit floats whose last byte is zero."""
+    return ((chance.astype(np.float32).view(np.uint32) + np.uint32(0x80)) & np.uint32(0xFFFFFF00)).view(np.float32)
 
 
 @dataclass
@@ -338,7 +379,8 @@ class Cells:
     cell: np.ndarray  # the cell of each pair
 
 
-def _cells(pairs: Pairs, symbols: np.ndarray, bound: np.ndarray, hot: float, ranges: int) -> Cells:
+def _cells(block: Block, pairs: Pairs, hot: float) -> Cells:
+    symbols, bound, ranges = block.symbols, block.bound, block.ranges
     parts = 1 + (bound // hot).astype(np.int64)
     base = np.cumsum(parts) - parts
     context = np.repeat(np.arange(len(parts)), parts)
@@ -354,13 +396,13 @@ def _cells(pairs: Pairs, symbols: np.ndarray, bound: np.ndarray, hot: float, ran
     return Cells(key[order], context[order], cuts, np.bincount(cell, minlength=len(key)), np.argsort(cell, kind="stable"), cell)
 
 
-def _questions(number: int, block: Block, pairs: Pairs, hot: float, ranges: int) -> list[tuple]:
+def _questions(number: int, block: Block, pairs: Pairs, hot: float) -> list[tuple]:
     """A row of kind `ask` for each range that the block has cells in."""
     if not len(pairs.tokens):
         return []
-    cells = _cells(pairs, block.symbols, block.bound, hot, ranges)
+    cells = _cells(block, pairs, hot)
     n = np.bincount(pairs.inverse, weights=~block.held[pairs.text], minlength=len(pairs.of)).astype(np.int64)
-    told = np.bincount(cells.cell, weights=n * np.log(block.lower.astype(float)), minlength=len(cells.key))
+    told = np.bincount(cells.cell, weights=n * np.log(block.chances(pairs)[0].astype(float)), minlength=len(cells.key))
     following, n = block.symbols[pairs.next][cells.order], n[cells.order]
     stop = np.append(0, np.cumsum(cells.size))
     out = []
@@ -399,29 +441,30 @@ def _passes(total: np.ndarray, kinds: np.ndarray, told: np.ndarray, least: float
     return (total >= least) & (told - total * np.log(np.maximum(total, 1)) > divergence * kinds)
 
 
-def _begun(lengths: np.ndarray, held: np.ndarray, symbols: np.ndarray, classes: np.ndarray, chance: np.ndarray, count: np.ndarray) -> tuple[Block, Pairs]:
+def _begun(lengths: np.ndarray, held: np.ndarray, symbols: np.ndarray, classes: np.ndarray, chance: np.ndarray, count: np.ndarray, ranges: int) -> tuple[Block, Pairs]:
     """A block at level 1; chance and count: of each symbol, and the count of BEGIN last."""
     live, n = np.ones(len(classes), bool), len(lengths)
     pairs = _pairs(lengths, symbols, classes, live, 1)
     hashes = _mixed(np.zeros(len(symbols) + 1, np.int64), np.append(symbols, BEGIN))
     by_hash = np.argsort(hashes)
     bound = count[by_hash[np.searchsorted(hashes[by_hash], pairs.context)]]
-    lower = chance[pairs.next].astype(np.float32)
-    return Block(1, np.zeros(n), np.arange(n), lengths, held, symbols, classes, live, ~live, lower, lower, np.zeros(len(pairs.context), np.int64), bound), pairs
+    lower = _short(chance)
+    return Block(1, ranges, np.zeros(n), np.arange(n), lengths, held, symbols, classes, live, ~live, lower, lower, np.zeros(len(pairs.context), np.int64), bound), pairs
 
 
 def _advanced(block: Block, answers: list[tuple[int, dict]], least: float, divergence: float, lookahead: int, hot: float, ranges: int) -> tuple[Block, Pairs]:
-    """The block at the next level, by the answers to what it asked, and its pairs there. Texts that are done go."""
+    """The block at the next level, where it asks in `ranges`, by the answers to what it asked, and its pairs there. Texts that are done go."""
     pairs = _pairs(block.lengths, block.symbols, block.classes, block.live, block.level)
     if not len(pairs.tokens):
         return block, pairs
-    cells = _cells(pairs, block.symbols, block.bound, hot, ranges)
+    cells = _cells(block, pairs, hot)
     n = np.empty(len(pairs.of), np.int64)
     n[cells.order] = np.concatenate([a["n"] for _, a in answers])
     total, kinds, told = (np.bincount(cells.context, weights=np.concatenate([a[k] for _, a in answers]), minlength=len(pairs.context)) for k in ("total", "kinds", "told"))
     passed = _passes(total, kinds, told, least, divergence)
-    chance = (n + kinds[pairs.of] * block.lower) / np.maximum(total + kinds, 1)[pairs.of]
-    best = np.where(passed[pairs.of], chance, block.best)
+    lower, best = block.chances(pairs)
+    chance = _short((n + kinds[pairs.of] * lower) / np.maximum(total + kinds, 1)[pairs.of])
+    best = np.where(passed[pairs.of], chance, best)
     lag = np.where(passed, 0, block.lag + 1)
     # which contexts go on, and where the one longer by a class is frequent enough: its count is that of the pair before
     frequent, opened = total >= least, (total >= least) & (kinds > 1) & (lag <= lookahead)
@@ -435,25 +478,25 @@ def _advanced(block: Block, answers: list[tuple[int, dict]], least: float, diver
     rare[pairs.tokens[too_rare]] = True
     go &= ~too_rare
     most = np.where(known[before] >= 0, known[before], total[of].astype(np.int64))
-    score = block.score + np.bincount(block.docs[pairs.text[~go]], weights=np.log10(best[pairs.inverse[~go]]), minlength=len(block.score))
+    score = block.score + np.bincount(block.docs[pairs.text[~go]], weights=np.log10(best.astype(float))[pairs.inverse[~go]], minlength=len(block.score))
     stay = np.zeros(len(block.lengths), bool)
     stay[pairs.text[go]] = True
     kept = np.repeat(stay, block.lengths)
     live = np.zeros(len(block.classes), bool)
     live[pairs.tokens[go]] = True
-    out = Block(block.level + 1, score, block.docs[stay], block.lengths[stay], block.held[stay], block.symbols, block.classes[kept], live[kept], rare[kept], *[np.empty(0)] * 4)
+    out = Block(block.level + 1, ranges, score, block.docs[stay], block.lengths[stay], block.held[stay], block.symbols, block.classes[kept], live[kept], rare[kept], *[np.empty(0)] * 4)
     longer = _pairs(out.lengths, out.symbols, out.classes, out.live, out.level)
     first = longer.first()
     was = pairs.inverse[go][first]
-    out.lower, out.best = chance[was].astype(np.float32), best[was].astype(np.float32)
+    out.lower, out.best = chance[was], best[was]
     some = np.empty(len(longer.context), np.int64)  # a pair of each context
     some[longer.of[::-1]] = np.arange(len(longer.of))[::-1]
     out.lag, out.bound = lag[pairs.of[was[some]]], most[go][first[some]]
     return out, longer
 
 
-def _state(number: int, block: Block, pairs: Pairs, hot: float, ranges: int) -> list[tuple]:
-    return [(number, -1, len(pairs.tokens), block.packed(), "state"), *_questions(number, block, pairs, hot, ranges)]
+def _state(number: int, block: Block, pairs: Pairs, hot: float) -> list[tuple]:
+    return [(number, -1, len(pairs.tokens), block.packed(), "state"), *_questions(number, block, pairs, hot)]
 
 
 def _of(rows: DataFrame, kind: str) -> DataFrame:
@@ -464,22 +507,30 @@ def _asked(rows: DataFrame, answer: Callable[[pa.Table], pa.Table], label: str)
     return settle(_of(rows, "ask").groupBy("range").applyInArrow(answer, _ROW), label, "kind")
 
 
-def levels(rows: DataFrame, least: float, hot: float, ranges: int, divergence: float = DIVERGENCE, lookahead: int = LOOKAHEAD) -> Iterator[tuple[DataFrame, DataFrame | None]]:
+def _ranges(tokens: int) -> int:
+    """In how many ranges to ask about so many tokens."""
+    return max(RANGES, tokens // RANGE_TOKENS)
+
+
+def levels(rows: DataFrame, least: float, hot: float, buckets: int, divergence: float = DIVERGENCE, lookahead: int = LOOKAHEAD) -> Iterator[tuple[DataFrame, DataFrame | None]]:
     """The blocks with their questions, and the answers, level by level; last the blocks of which no token goes on.
 
     Tables of a level are deleted when the next one is written. One number for each level goes to the driver.
     """
 
-    def go_on(_: tuple, state: pa.Table, given: pa.Table) -> pa.Table:
-        number, answers = state["block"][0].as_py(), _bodies(given, "range")
-        block = Block(**unpack(state["body"][0].as_py()))
-        return _rows(_state(number, *_advanced(block, answers, least, divergence, lookahead, hot, ranges), hot, ranges))
+    def advance(ranges: int) -> Callable:
+        def go_on(_: tuple, state: pa.Table, given: pa.Table) -> pa.Table:
+            number, answers = state["block"][0].as_py(), _bodies(given, "range")
+            block = Block.unpacked(state["body"][0].as_py())
+            return _rows(_state(number, *_advanced(block, answers, least, divergence, lookahead, hot, ranges), hot))
+
+        return go_on
 
-    while _of(rows, "state").agg(F.sum("alive")).first()[0]:
+    while alive := _of(rows, "state").agg(F.sum("alive")).first()[0]:
         answers = _asked(rows, _answers, "answers")
         yield rows, answers
         longer = _of(rows, "state").groupBy("block").cogroup(_of(answers, "answer").groupBy("block"))
-        new = settle(longer.applyInArrow(go_on, _ROW), "level", "kind")
+        new = settle_dealt(longer.applyInArrow(advance(_ranges(alive)), _ROW), "level", "kind", "block", buckets)
         drop(rows)
         drop(answers)
         rows = new
@@ -488,20 +539,20 @@ def levels(rows: DataFrame, least: float, hot: float, ranges: int, divergence: f
 
 def grow(coded: DataFrame, mass: np.ndarray, tokens: int, depth: int = 3, prevalence: float = PREVALENCE, divergence: float = DIVERGENCE) -> Tree:
     """The contexts of up to `depth` classes that pass and those they extend, in memory: to look into small models. coded: classes, lengths, held."""
-    width, root, least, ranges = len(mass), mass / mass.sum(), least_count(CONTEXT_COUNT, prevalence, tokens), 4
+    width, root, least = len(mass), mass / mass.sum(), least_count(CONTEXT_COUNT, prevalence, tokens)
 
     def start(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in given:
             for row in range(batch.num_rows):
                 classes = np.frombuffer(batch.column("classes")[row].as_py(), "<i2").astype(np.int64)
                 lengths, held = (batch.column(k)[row].values.to_numpy(zero_copy_only=False) for k in ("lengths", "held"))
-                begun = _begun(lengths.astype(np.int64), held, np.arange(width), classes, root, np.full(width + 1, tokens))
-                yield from _rows(_state(batch.column("block")[row].as_py(), *begun, math.inf, ranges)).to_batches()
+                begun = _begun(lengths.astype(np.int64), held, np.arange(width), classes, root, np.full(width + 1, tokens), RANGES)
+                yield from _rows(_state(batch.column("block")[row].as_py(), *begun, math.inf)).to_batches()
 
     numbered = coded.select("classes", "lengths", "held", F.monotonically_increasing_id().alias("block"))
-    rows = settle(numbered.mapInArrow(start, _ROW), "level", "kind")
+    rows = settle_dealt(numbered.mapInArrow(start, _ROW), "level", "kind", "block", RANGES)
     known: dict[int, dict] = {}
-    for level, (asked, answered) in enumerate(levels(rows, least, math.inf, ranges, divergence)):
+    for level, (asked, answered) in enumerate(levels(rows, least, math.inf, RANGES, divergence)):
         if answered is None or level == depth:
             break
         said = {(r["block"], r["range"]): unpack(r["body"]) for r in _of(answered, "answer").collect()}
@@ -546,8 +597,9 @@ def score_documents(documents: DataFrame, held_out: tuple[int, int] = HELD_OUT,
     held = id_mod(F.col(id_col), held_out[0]) == held_out[1]
     given = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), held.alias("held"))
     size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(RANGES, size // (4 * RANGE_TOKENS))
-    rows = settle(_blocks(given, ranges), "blocks", "kind")
+    ranges = max(RANGES, size // BLOCK_BYTES)
+    buckets = min(MOST_BUCKETS, 2 * ranges)
+    rows = settle_dealt(_blocks(given, ranges), "blocks", "kind", "block", buckets)
 
     def counted(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in given:
@@ -575,7 +627,7 @@ def score_documents(documents: DataFrame, held_out: tuple[int, int] = HELD_OUT,
     whole = mass.sum() + (whole_sums["own"] or 0.0)
     floor = tokens + 0.5 * ((whole_sums["kinds"] or 0) + bool(texts) + 1)
     end_base = math.log10((texts + 0.5) / floor)
-    hot = max(1.0, tokens / ranges)
+    hot = max(1.0, tokens / _ranges(tokens))
 
     def coded(_: tuple, block: pa.Table, given: pa.Table) -> pa.Table:
         number, found = block["block"][0].as_py(), [a for _, a in _bodies(given, "range")]
@@ -588,29 +640,31 @@ def score_documents(documents: DataFrame, held_out: tuple[int, int] = HELD_OUT,
         shared = symbols < OWN
         weight[shared] = mass[symbols[shared]]
         base, inner = np.log10((c + 0.5) / floor), np.log10(c + 0.5) - np.log10(weight[local[:-1]])
-        lengths, tokens_at = s["lengths"], s["tokens"]
+        lengths, tokens_at = s["lengths"], s["often"][s["tokens"]]
         text = np.repeat(np.arange(len(lengths)), lengths)
         classes = np.full(len(tokens_at) + len(lengths), local[-1])
         classes[np.arange(len(tokens_at)) + text] = local[tokens_at]
         known, base, inner = (np.bincount(text, weights=x[tokens_at], minlength=len(lengths)) for x in (c > 0, base, inner))
-        begun = _begun(lengths + 1, s["held"], symbols, classes, weight / whole, np.append(weight, texts).astype(np.int64))
+        begun = _begun(lengths + 1, s["held"], symbols, classes, weight / whole, np.append(weight, texts).astype(np.int64), _ranges(tokens))
         about = pack(ids=s["ids"], no_id=s["no_id"], held=s["held"], sizes=lengths + 1, known=known.astype(np.int64) + (texts > 0), base=base + end_base, inner=inner)
-        return _rows([(number, -1, 0, about, "about"), *_state(number, *begun, hot, ranges)])
+        return _rows([(number, -1, 0, about, "about"), *_state(number, *begun, hot)])
 
-    codes = settle(_of(rows, "block").groupBy("block").cogroup(_of(answers, "answer").groupBy("block")).applyInArrow(coded, _ROW), "coded", "kind")
+    codes = settle_dealt(_of(rows, "block").groupBy("block").cogroup(_of(answers, "answer").groupBy("block")).applyInArrow(coded, _ROW), "coded", "kind", "block", buckets)
     drop(rows)
     drop(answers)
     about = settle(_of(codes, "about").select("block", "body"), "about")  # stays when the levels' tables go
-    for state, _ in levels(codes, least_count(CONTEXT_COUNT, PREVALENCE, tokens), hot, ranges):
+    for state, _ in levels(codes, least_context(tokens), hot, buckets):
         pass
+    done = settle(_of(state, "state").select("block", "body"), "scores")
+    drop(state)
 
     def scored(_: tuple, told: pa.Table, done: pa.Table) -> pa.Table:
-        a, s = unpack(told["body"][0].as_py()), unpack(done["body"][0].as_py())
+        a, s = unpack(told["body"][0].as_py()), unpack(done["body"][0].as_py())["score"]
         n = len(a["ids"])
         return pa.table({
             "doc_id": pa.array(a["ids"], pa.int64(), mask=a["no_id"]), "held_out": pa.array(a["held"], pa.bool_()), "n_tokens": pa.array(a["sizes"], pa.int64()), "n_known": pa.array(a["known"], pa.int64()),
-            "train_tokens": pa.array(np.full(n, tokens), pa.int64()), "base_score": pa.array(a["base"], pa.float64()), "score": pa.array(s["score"] + a["inner"], pa.float64()),
+            "train_tokens": pa.array(np.full(n, tokens), pa.int64()), "base_score": pa.array(a["base"], pa.float64()), "score": pa.array(s + a["inner"], pa.float64()),
         })
 
-    out = about.groupBy("block").cogroup(_of(state, "state").select("block", "body").groupBy("block"))
+    out = about.groupBy("block").cogroup(done.groupBy("block"))
     return out.applyInArrow(scored, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

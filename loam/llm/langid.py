@@ -6,15 +6,16 @@ wins. Texts are folded (lower case; what is no letter becomes one separator) and
 many windows and all languages in step; a window's end ends a phrase in all languages alike.
 
 Fitting takes a bounded sample: SAMPLE_ROWS labelled documents of each language, chosen by a hash of their ids, and
-SAMPLE_SYMBOLS folded symbols of each language, the same share from every chosen document. Of rows that repeat an id
-the first by folded text is taken, however many there are.
+SAMPLE_SYMBOLS folded symbols of each language, at most the same number from every chosen document: of longer ones,
+windows spread evenly from the first symbol to the last. Of rows that repeat an id the first by folded text is taken,
+however many there are. All letters of the sample are told apart; letters that it lacks share one symbol. An automaton
+takes some ten bytes for each of its moves, a megabyte a language at most, whatever the script.
 """
 
 from __future__ import annotations
 
 import hashlib
 import pickle
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,6 @@ SAMPLE_ROWS = 120
 SAMPLE_SYMBOLS = 24_000
 #: Groups that a language's ids are dealt into when the sample is chosen.
 PARTS = 16
-#: Letters that the automata tell apart; rarer ones share one symbol.
-ALPHABET = 200
 WINDOW = 512
 UNKNOWN = "und"
 HELD_OUT = (4, 2)
@@ -40,6 +39,16 @@ def fold(text: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
+def spread(text: str, most: int) -> str:
+    """At most `most` symbols of a text: all, or windows of WINDOW symbols or fewer, evenly spaced over its length."""
+    if len(text) <= most:
+        return text
+    width = min(WINDOW, most)
+    windows = max(1, (most + 1) // (width + 1))
+    last = len(text) - width
+    return " ".join(text[last * k // max(1, windows - 1) :][:width] for k in range(windows))
+
+
 def automaton(symbols: list[int]) -> list[dict[int, int]]:
     """Transitions of the suffix automaton of a sequence, by state; 0 is the start."""
     moves: list[dict[int, int]] = [{}]
@@ -70,44 +79,51 @@ def automaton(symbols: list[int]) -> list[dict[int, int]]:
     return moves
 
 
-class Parser:
-    """All languages' automata as one table of moves, and the parse of many windows in step.
+def interleaved(moves: list[dict[int, int]], symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """An automaton's moves as one array, its states' rows laid over each other, and the start's row by itself.
 
-    A cell holds the next state's row; ENDS is set where the symbol ends a phrase. The last symbol is padding.
+    A state is named by where its row begins, and no two begin alike; the cell at state + symbol holds, if it is the
+    state's own, the state above 32 bits and the next state below.
     """
+    size = sum(map(len, moves)) + len(moves) + 2 * symbols + 64
+    taken, begun = bytearray(2 * size), bytearray(2 * size)
+    begin = [0] * len(moves)
+    first: dict[int, int] = {}  # by how many moves a row has: rows as long were found to fit from here on
+    for state in sorted(range(len(moves)), key=lambda k: (-len(moves[k]), k)):
+        row = list(moves[state])
+        at = first.get(len(row), 0)
+        while begun[at] or any(taken[at + x] for x in row):
+            at += 1
+            if at + symbols + 1 >= len(taken):
+                taken.extend(bytes(len(taken)))
+                begun.extend(bytes(len(begun)))
+        first[len(row)] = at if len(row) < 3 else max(first.get(len(row), 0), at - 4 * symbols)
+        begin[state], begun[at] = at, 1
+        for x in row:
+            taken[at + x] = 1
+    cells = np.full(max(begin, default=0) + symbols + 1, -1, np.int64)
+    for state, row in enumerate(moves):
+        for symbol, to in row.items():
+            cells[begin[state] + symbol] = begin[state] << 32 | begin[to]
+    start = np.full(symbols, -1, np.int64)
+    for symbol, to in moves[0].items():
+        start[symbol] = begin[to]
+    return cells, np.append(start, begin[0])
 
-    ENDS = 30
+
+class Parser:
+    """All languages' automata, and the parse of many windows in step."""
 
     def __init__(self, samples: dict[str, list[str]]) -> None:
         self.langs = sorted(samples)
-        seen = Counter(c for texts in samples.values() for text in texts for c in text if c != " ")
-        letters = {c: k + 2 for k, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET])}
-        self.symbol = np.zeros(0x110000, np.uint8)  # 0: separator, 1: any other letter
+        letters = sorted({c for texts in samples.values() for text in texts for c in text} - {" "})
+        self.symbol = np.zeros(0x110000, np.int32)  # 0: separator, 1: a letter that no language's sample has
         self.symbol[[k for k in range(0x110000) if chr(k).isalpha()]] = 1
-        for c, k in letters.items():
-            self.symbol[ord(c)] = k
-        width = len(letters) + 3
-        self.width, self.pad = width, width - 1
-        tables, self.roots, base = [], [], 0
+        self.symbol[[ord(c) for c in letters]] = np.arange(2, len(letters) + 2)
+        self.tables = []
         for lang in self.langs:
             moves = automaton([int(x) for text in samples[lang] for x in [*self.symbol[[ord(c) for c in text]], 0]] if samples[lang] else [])
-            step = np.full((len(moves), width), -1, np.int32)
-            for state, row in enumerate(moves):
-                for symbol, to in row.items():
-                    step[state, symbol] = to
-            start = np.where(step[0] >= 0, step[0], 0)
-            end = step < 0
-            lone = end & (step[0] < 0) & (np.arange(len(moves)) > 0)[:, None]  # the symbol itself is one more phrase
-            step = np.where(end, start[None, :], step)
-            cell = (step + base) * width | end.astype(np.int32) << self.ENDS
-            cell += lone.astype(np.int32) << self.ENDS
-            cell[:, self.pad] = (np.arange(len(moves)) + base) * width
-            tables.append(cell.astype(np.uint32))
-            self.roots.append(base * width)
-            base += len(moves)
-        if base * width >= 1 << self.ENDS:
-            raise ValueError("too many languages for one table: lower SAMPLE_SYMBOLS")
-        self.cells = np.concatenate(tables).ravel() if tables else np.empty(0, np.uint32)
+            self.tables.append(interleaved(moves, len(letters) + 2))
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of each text, and phrases of each text in each language."""
@@ -132,21 +148,25 @@ class Parser:
             return total, counts
         order = np.argsort([-len(x) for x in parts], kind="stable")
         lengths = np.array([len(parts[k]) for k in order])
-        grid = np.full((WINDOW, len(parts)), self.pad, np.uint32)
+        grid = np.zeros((WINDOW, len(parts)), np.int64)
         for column, k in enumerate(order):
             grid[: len(parts[k]), column] = parts[k]
-        mask = np.uint32((1 << self.ENDS) - 1)
-        for lang, root in enumerate(self.roots):
-            state = np.full(len(parts), root, np.uint32)
-            ended = np.zeros(len(parts), np.uint32)
-            live = len(parts)
-            for row in range(lengths[0]):
-                while lengths[live - 1] <= row:
-                    live -= 1
-                cell = self.cells.take(state[:live] + grid[row, :live])
-                ended[:live] += cell >> np.uint32(self.ENDS)
-                state[:live] = cell & mask
-            np.add.at(counts[:, lang], np.array(owner)[order], ended.astype(np.int64) + (state != root))
+        alive = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")  # windows of more than so many symbols
+        owners = np.array(owner)[order]
+        for lang, (cells, begins) in enumerate(self.tables):
+            starts, root = begins[:-1], begins[-1]
+            state = np.full(len(parts), root, np.int64)
+            ended = np.zeros(len(parts), np.int64)
+            for row, live in enumerate(alive.tolist()):
+                now, symbol = state[:live], grid[row, :live]
+                cell = cells.take(now + symbol)
+                stuck = np.flatnonzero(cell >> 32 != now)
+                if len(stuck):  # a phrase ends, and the symbol begins the next one; an unknown symbol is one by itself
+                    again = starts.take(symbol[stuck])
+                    ended[stuck] += 1 + ((again < 0) & (now[stuck] != root))
+                    cell[stuck] = np.where(again < 0, root, again)
+                state[:live] = cell & 0xFFFFFFFF
+            counts[:, lang] = np.bincount(owners, weights=ended + (state != root), minlength=len(texts))
         return total, counts
 
     def best(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -174,6 +194,7 @@ def parser(model: bytes) -> Parser:
 
 def fit(documents: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> bytes:
     """The folded sample of each language, from rows with a language and, if given, `learn`."""
+    prepare(documents.sparkSession)
     lang, key = F.col(lang_col), F.xxhash64(F.lit("langid"), F.col(id_col))
     rows = documents.where(lang.isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (F.lit(True) if learn is None else learn))
     chosen = rows.select(lang.alias("lang_"), key.alias("key_")).distinct().withColumn("part_", F.spark_partition_id() % PARTS)
@@ -187,7 +208,7 @@ def fit(documents: DataFrame, learn: Column | None = None, id_col: str = "doc_id
 
     def folded(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in given:
-            texts = [fold(x)[: 4 * SAMPLE_SYMBOLS] for x in batch.column("text_").to_pylist()]
+            texts = [spread(fold(x), 4 * SAMPLE_SYMBOLS) for x in batch.column("text_").to_pylist()]
             yield pa.RecordBatch.from_pydict({"lang_": batch.column("lang_"), "key_": batch.column("key_"), "text_": pa.array(texts, pa.string())})
 
     once = keyed.mapInArrow(folded, "lang_ string, key_ bigint, text_ string").groupBy("lang_", "key_").agg(F.min("text_").alias("text_"))
@@ -204,7 +225,7 @@ def fit(documents: DataFrame, learn: Column | None = None, id_col: str = "doc_id
                 break
             left -= length
             share = length
-        samples[name] = [x[:share] for x in ordered if share]
+        samples[name] = [spread(x, share) for x in ordered if share]
     return pickle.dumps(samples)
 
 

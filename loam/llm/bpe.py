@@ -5,9 +5,11 @@ DuckDB as token-position rows (piece, position, token), one row a byte at first.
 and its successor with the merge table and contracts the leftmost pair of the lowest rank of every piece, until no
 piece has a pair left. An ordered aggregation then lists each piece's ids and the bytes that those ids stand for.
 
-Pieces of over LONG_BYTES bytes take a second recursive query that contracts, in a round, every occurrence of the
-piece's lowest pair from the left without overlap. That gives the same ids if each token of the vocabulary encodes
-to itself (true of trained vocabularies; tests check it): a merge then never creates a pair of lower rank.
+Pieces of over LONG_BYTES bytes are first cut between bytes that stand side by side in no token. What is still longer
+takes a second recursive query that contracts, in a round, the occurrences of the piece's lowest pair from the left
+without overlap, up to the first whose token makes a pair of lower rank with a neighbour: that pair is next. So the rule
+is the same for all lengths and any vocabulary: always the leftmost pair of the lowest rank. A vocabulary must hold all
+single bytes; ranks may be any below 2^31.
 
 Null texts count as empty; an empty text has no tokens. Rows are handled one by one, so repeated rows give repeated
 results, and further input columns are not looked at. Memory is bounded by one Arrow batch and two caches of
@@ -44,7 +46,7 @@ WITH RECURSIVE step(place, tok, live) AS (
              CASE WHEN a.next_place >> 6 = a.place >> 6 THEN (m.merged::BIGINT << 12) | ((a.place & 63) << 6) | (a.next_place & 63) END AS rank
       FROM (SELECT place, tok, lead(tok) OVER w AS next_tok, lead(place) OVER w AS next_place
             FROM step WHERE live WINDOW w AS (ORDER BY place)) a
-      LEFT JOIN merges m ON m.pair = a.tok::BIGINT * 65536 + a.next_tok),
+      LEFT JOIN merges m ON m.pair = (a.tok::BIGINT << 31) + a.next_tok),
     best AS (SELECT place >> 6 AS piece, min(rank) AS hit FROM pair GROUP BY 1)
     SELECT p.place, CASE WHEN (b.hit >> 6) & 63 = p.place & 63 THEN (b.hit >> 12)::INTEGER ELSE p.tok END, b.hit IS NOT NULL
     FROM pair p JOIN best b ON b.piece = p.place >> 6
@@ -57,18 +59,26 @@ WITH RECURSIVE step(piece, pos, tok, live) AS (
   SELECT piece, pos, tok, true FROM seed
   UNION ALL (
     WITH pair AS (
-      SELECT a.piece, a.pos, a.tok, a.next_pos, a.nth, m.merged
-      FROM (SELECT piece, pos, tok, lead(tok) OVER w AS next_tok, lead(pos) OVER w AS next_pos, row_number() OVER w AS nth
+      SELECT a.*, m.merged
+      FROM (SELECT piece, pos, tok, lead(tok) OVER w AS next_tok, lead(pos) OVER w AS next_pos, lead(tok, 2) OVER w AS after_tok,
+              lag(tok) OVER w AS before_tok, row_number() OVER w AS nth
             FROM step WHERE live WINDOW w AS (PARTITION BY piece ORDER BY pos)) a
-      LEFT JOIN merges m ON m.pair = a.tok::BIGINT * 65536 + a.next_tok),
+      LEFT JOIN merges m ON m.pair = (a.tok::BIGINT << 31) + a.next_tok),
     lowest AS (SELECT piece, min(merged) AS merged FROM pair WHERE merged IS NOT NULL GROUP BY piece),
     hit AS (
-      SELECT p.piece, p.pos, p.next_pos, p.nth, p.merged,
+      SELECT p.piece, p.pos, p.next_pos, p.nth, p.merged, p.before_tok, p.after_tok,
              p.nth - row_number() OVER (PARTITION BY p.piece ORDER BY p.pos) AS run
       FROM pair p JOIN lowest l ON l.piece = p.piece AND l.merged = p.merged),
+    chosen AS (
+      SELECT *, coalesce(lag(nth) OVER (PARTITION BY piece ORDER BY pos) = nth - 2, false) AS follows
+      FROM (SELECT *, nth - min(nth) OVER (PARTITION BY piece, run) AS place FROM hit) WHERE place % 2 = 0),
+    lower AS (
+      SELECT c.piece, min(c.pos) AS pos FROM chosen c
+      LEFT JOIN merges x ON x.pair = ((CASE WHEN c.follows THEN c.merged ELSE c.before_tok END)::BIGINT << 31) + c.merged
+      LEFT JOIN merges y ON y.pair = (c.merged::BIGINT << 31) + c.after_tok
+      WHERE least(x.merged, y.merged) < c.merged GROUP BY c.piece),
     taken AS (
-      SELECT piece, pos, next_pos, merged
-      FROM (SELECT *, nth - min(nth) OVER (PARTITION BY piece, run) AS place FROM hit) WHERE place % 2 = 0)
+      SELECT c.piece, c.pos, c.next_pos, c.merged FROM chosen c LEFT JOIN lower f ON f.piece = c.piece WHERE f.pos IS NULL OR c.pos <= f.pos)
     SELECT p.piece, p.pos, coalesce(t.merged, p.tok), l.piece IS NOT NULL
     FROM pair p
     LEFT JOIN taken t ON t.piece = p.piece AND t.pos = p.pos
@@ -95,9 +105,17 @@ class Engine:
 
         self.find, self.cached = regex.compile(pattern).findall, CACHE_PIECES
         self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in ranks_file.splitlines() if x)}
+        if lacking := [i for i in range(256) if bytes([i]) not in self.ranks]:
+            raise ValueError(f"the vocabulary lacks {len(lacking)} single bytes, {lacking[0]} for one")
+        if not all(0 <= rank < 1 << 31 for rank in self.ranks.values()):
+            raise ValueError("ranks are from 0 to 2^31 - 1")
         self.single = [self.ranks[bytes([i])] for i in range(256)]
+        self.together = bytearray(1 << 16)  # pairs of bytes that stand side by side in some token
+        for token in self.ranks:
+            for a, b in zip(token, token[1:]):
+                self.together[a << 8 | b] = 1
         merges = [
-            ((self.ranks[token[:cut]] << 16) + self.ranks[token[cut:]], rank)
+            ((self.ranks[token[:cut]] << 31) + self.ranks[token[cut:]], rank)
             for token, rank in self.ranks.items()
             for cut in range(1, len(token))
             if token[:cut] in self.ranks and token[cut:] in self.ranks
@@ -114,6 +132,27 @@ class Engine:
 
     def contract(self, pieces: list[bytes]) -> list[tuple[list[int], bytes]]:
         """Each piece's ids, and the bytes that they decode to."""
+        parts, owner = [], []
+        for k, piece in enumerate(pieces):
+            found = [piece] if len(piece) <= LONG_BYTES else self._apart(piece)
+            parts += found
+            owner += [k] * len(found)
+        if len(parts) == len(pieces):
+            return self._contract(pieces)
+        out: list = [([], b"")] * len(pieces)
+        for k, (ids, decoded) in zip(owner, self._contract(parts), strict=True):
+            out[k] = (out[k][0] + ids, out[k][1] + decoded) if out[k][0] else (ids, decoded)
+        return out
+
+    def _apart(self, piece: bytes) -> list[bytes]:
+        """A piece cut where no token reaches across."""
+        import numpy as np
+
+        at = np.frombuffer(piece, np.uint8).astype(np.int64)
+        cuts = (np.flatnonzero(np.frombuffer(self.together, np.uint8)[at[:-1] << 8 | at[1:]] == 0) + 1).tolist()
+        return [piece[a:b] for a, b in zip([0, *cuts], [*cuts, len(piece)], strict=True)]
+
+    def _contract(self, pieces: list[bytes]) -> list[tuple[list[int], bytes]]:
         out: list = [([], b"")] * len(pieces)
         for query, chosen in (
             (_SHORT, [i for i, x in enumerate(pieces) if 0 < len(x) <= LONG_BYTES]),

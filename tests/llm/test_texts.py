@@ -80,6 +80,44 @@ def test_long_pieces_as_short_ones(encoding, monkeypatch):
     assert [x for x, _ in engine.contract([w.encode() for w in pieces])] == expected
 
 
+def engine_of(tokens):
+    """An engine of all single bytes and further tokens by rank."""
+    import base64
+
+    ranks = {bytes([i]): i for i in range(256)} | {k.encode(): v for k, v in tokens.items()}
+    return bpe.Engine(b"\n".join(base64.b64encode(k) + b" %d" % v for k, v in ranks.items()), PATTERN), ranks
+
+
+@pytest.mark.parametrize("tokens", [{"xab": 256, "xaba": 257, "ab": 258}, {"cd": 65634, "acd": 70000, "ab": 300}, {"aa": 259, "aaa": 257, "aaaa": 256, "ab": 300, "aab": 258}])
+def test_odd_vocabularies(monkeypatch, tokens):
+    """Merges that make pairs of lower rank, and ranks beyond 16 bits, in short pieces and in long ones."""
+    engine, ranks = engine_of(tokens)
+    whole = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(7)
+    pieces = ["".join(r.choice("xabcd"[: r.randint(2, 5)]) for _ in range(n)).encode() for n in [*range(1, 40), 70, 90, 200, 400]] + [b"bb", b"xabab", b"xabab" + b"q" * 70, b"a" * 150]
+    expected = [whole._encode_single_piece(p) for p in pieces]
+    assert [ids for ids, _ in engine.contract(pieces)] == expected
+    monkeypatch.setattr(bpe, "LONG_BYTES", 0)
+    assert engine.contract(pieces) == list(zip(expected, pieces, strict=True))
+
+
+def test_vocabularies_refused():
+    import base64
+
+    with pytest.raises(ValueError, match="single bytes"):
+        bpe.Engine(base64.b64encode(b"a") + b" 0", PATTERN)
+    with pytest.raises(ValueError, match="ranks"):
+        engine_of({"ab": 1 << 31})
+
+
+def test_long_pieces_are_cut_where_no_token_reaches(encoding):
+    engine, whole = encoding
+    r = random.Random(9)
+    piece = bytes(r.choice(b"\x00\x01\x1fqzQZ7") for _ in range(60_000))
+    assert len(engine._apart(piece)) > 10_000
+    assert engine.contract([piece]) == [(whole._encode_single_piece(piece), piece)]
+
+
 @pytest.mark.parametrize("real", [False, True])
 def test_bpe(spark, middle, encoding, real):
     docs = table(spark, middle, "documents") if real else frame(spark)

@@ -5,9 +5,9 @@ it, each cut into bins; transitions tie neighbours together. Forward and backwar
 of being good, and a document's score is their mean, weighted by the lines' lengths in bytes (all lines alike if all
 are empty; an empty or null text is one empty line).
 
-Fitting takes a bounded sample: SAMPLE_ROWS labelled documents chosen by a hash of their ids (those of over
-SAMPLE_LINES lines are passed over; rows that repeat an id count once), whose lines all carry the document's label.
-Scoring reads whole texts.
+Fitting takes a bounded sample: SAMPLE_ROWS labelled documents chosen by a hash of their ids (rows that repeat an id count
+once), whose lines all carry the document's label. Of documents of over SAMPLE_LINES lines it takes as many, in runs of
+SAMPLE_RUN that are spread evenly from the first line to the last. Scoring reads whole texts.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from loam.llm._common import id_mod, prepare
 
 SAMPLE_ROWS = 4000
 SAMPLE_LINES = 300
+#: Lines that are passed through in step, and of a long text's sample that stand together.
+RUN, SAMPLE_RUN = 256, 30
 BINS = 15
 ROUNDS = 160
 HELD_OUT = (5, 0)
@@ -87,33 +89,60 @@ def _emissions(bins: np.ndarray, weights: np.ndarray, bias: float, first: np.nda
     return out
 
 
+def _step(state: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Log weights of (bad, good) in the last axis, a line later, before its emission."""
+    return np.logaddexp(state[..., :1] + moves[0], state[..., 1:] + moves[1])
+
+
 def _chain(emissions: np.ndarray, counts: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each line's probability of being good, and the expected number of moves; all texts in step, the longest first."""
-    order = np.argsort(-counts, kind="stable")
-    length = counts[order]
-    begin = (np.cumsum(counts) - counts)[order]
-    steps = int(length[0])
-    alive = np.searchsorted(-length, -np.arange(steps), "left")  # texts of more than t lines
-    a00, a01, a10, a11 = moves.ravel()
-    forward = np.zeros((len(emissions), 2))
-    backward = np.zeros((len(emissions), 2))
-    for t in range(steps):
-        at = begin[: alive[t]] + t
-        if t:
-            was = forward[at - 1]
-            forward[at, 0] = np.logaddexp(was[:, 0] + a00, was[:, 1] + a10)
-            forward[at, 1] = np.logaddexp(was[:, 0] + a01, was[:, 1] + a11)
-        forward[at, 1] += emissions[at]
-    expected = np.zeros((2, 2))
-    total = np.logaddexp(*forward[begin + length - 1].T)
-    for t in range(steps - 2, -1, -1):
-        at = begin[: alive[t + 1]] + t
-        good, bad = backward[at + 1, 1] + emissions[at + 1], backward[at + 1, 0]
-        backward[at, 0] = np.logaddexp(a00 + bad, a01 + good)
-        backward[at, 1] = np.logaddexp(a10 + bad, a11 + good)
-        norm = total[: alive[t + 1]]
-        for i, j, weight, ahead in ((0, 0, a00, bad), (0, 1, a01, good), (1, 0, a10, bad), (1, 1, a11, good)):
-            expected[i, j] += np.exp(forward[at, i] + weight + ahead - norm).sum()
+    """Each line's probability of being good, and the expected number of moves.
+
+    Texts are cut into runs of RUN lines, and all runs are passed through in step. What a run makes of either state
+    before it is found first; those go from run to run of a text, and tell every run what comes before and after it.
+    """
+    runs = -(-counts // RUN)
+    text, nth = np.repeat(np.arange(len(counts)), runs), np.arange(int(runs.sum())) - np.repeat(np.cumsum(runs) - runs, runs)
+    begin, length = (np.cumsum(counts) - counts)[text] + nth * RUN, np.minimum(RUN, counts[text] - nth * RUN)
+    order = np.argsort(-length, kind="stable")
+    alive = np.searchsorted(-length[order], -np.arange(int(length.max(initial=0))), "left")  # runs of more than t lines
+    emission = np.stack([np.zeros(len(emissions)), emissions], 1)
+    start = np.full((len(text), 2), 0.0)  # the state at a run's last line before; of a text's first run there is none
+    after = np.zeros((len(text), 2))  # what follows a run's last line, by its state
+    if len(text) > len(counts):
+        through = np.zeros((len(text), 2, 2))  # by the state before (alike in first runs)
+        for t, many in enumerate(alive.tolist()):
+            mine = order[:many]
+            if t:
+                through[mine] = _step(through[mine], moves)
+            else:
+                through[:] = np.where((nth > 0)[:, None, None], moves, 0.0)
+            through[mine] += emission[begin[mine] + t][:, None]
+        first = np.cumsum(runs) - runs
+        for k in range(1, int(runs.max())):
+            at = first[runs > k] + k
+            before = through[at - 1, 0] if k == 1 else np.logaddexp(start[at - 1, :1] + through[at - 1, 0], start[at - 1, 1:] + through[at - 1, 1])
+            start[at] = before
+        for k in range(int(runs.max()) - 2, -1, -1):
+            at = first[runs > k + 1] + k
+            after[at] = np.logaddexp(*np.moveaxis(through[at + 1] + after[at + 1][:, None], 2, 0))
+    forward, backward = np.zeros((len(emissions), 2)), np.zeros((len(emissions), 2))
+    for t, many in enumerate(alive.tolist()):
+        mine = order[:many]
+        at = begin[mine] + t
+        came = _step(forward[at - 1] if t else start[mine], moves)
+        forward[at] = (came if t else np.where((nth[mine] > 0)[:, None], came, 0.0)) + emission[at]
+    backward[begin + length - 1] = after
+    ahead = emission.copy()  # emission and what follows, of the line after
+    for t in range(len(alive) - 2, -1, -1):
+        at = begin[order[: alive[t + 1]]] + t
+        backward[at] = np.logaddexp(*((backward[at + 1] + emission[at + 1])[:, None, :] + moves).transpose(2, 0, 1))
+    ahead += backward
+    stop = np.cumsum(counts) - 1
+    total = np.repeat(np.logaddexp(*forward[stop].T), counts)
+    inner = np.ones(len(emissions), bool)
+    inner[stop] = False
+    at = np.flatnonzero(inner)
+    expected = np.exp(forward[at][:, :, None] + moves + ahead[at + 1][:, None, :] - total[at][:, None, None]).sum(0)
     log_odds = (forward[:, 1] + backward[:, 1]) - (forward[:, 0] + backward[:, 0])
     return 1 / (1 + np.exp(-np.clip(log_odds, -500, 500))), expected
 
@@ -183,8 +212,8 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column | None = None) ->
         for batch in given:
             out: list[tuple] = []
             for doc_id, text, quality in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("quality").to_pylist(), strict=True):
-                if text.count(b"\n") < SAMPLE_LINES:
-                    out.append((doc_id, quality, line_features([text])[0].tobytes()))
+                features = line_features([text])[0]
+                out.append((doc_id, quality, features[sampled_lines(len(features))].tobytes()))
             ids, marks, features = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "quality": pa.array(marks, pa.int32()), "features": pa.array(features, pa.binary())})
 
@@ -196,6 +225,14 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column | None = None) ->
     return train(features, np.array([len(x) for x in each], np.int64), np.array([r["quality"] for r in found], np.int64))
 
 
+def sampled_lines(count: int) -> np.ndarray:
+    """Which lines of a text of so many the fit takes."""
+    if count <= SAMPLE_LINES:
+        return np.arange(count)
+    begins = np.linspace(0, count - SAMPLE_RUN, SAMPLE_LINES // SAMPLE_RUN).astype(np.int64)
+    return (begins[:, None] + np.arange(SAMPLE_RUN)).ravel()
+
+
 def score_documents(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score for every row; the text alone decides."""
     prepare(documents.sparkSession)

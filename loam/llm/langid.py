@@ -30,6 +30,8 @@ SAMPLE_SYMBOLS = 24_000
 #: Groups that a language's ids are dealt into when the sample is chosen.
 PARTS = 16
 WINDOW = 512
+#: Symbols that a sample takes in a row, where it does not take all.
+SPREAD = 64
 UNKNOWN = "und"
 HELD_OUT = (4, 2)
 
@@ -40,13 +42,13 @@ def fold(text: str) -> str:
 
 
 def spread(text: str, most: int) -> str:
-    """At most `most` symbols of a text: all, or windows of WINDOW symbols or fewer, evenly spaced over its length."""
+    """At most `most` symbols of a text: all, or windows of about SPREAD symbols, evenly spaced over its length."""
     if len(text) <= most:
         return text
-    width = min(WINDOW, most)
-    windows = max(1, (most + 1) // (width + 1))
+    windows = -(-most // SPREAD)
+    width = (most + 1) // windows - 1
     last = len(text) - width
-    return " ".join(text[last * k // max(1, windows - 1) :][:width] for k in range(windows))
+    return " ".join(text[last * (2 * k + 1) // 2 if windows == 1 else last * k // (windows - 1) :][:width] for k in range(windows))
 
 
 def automaton(symbols: list[int]) -> list[dict[int, int]]:

@@ -403,6 +403,102 @@ def test_chain_against_enumeration():
     assert np.allclose(good, brute) and np.allclose(expected, steps)
 
 
+def test_long_chains_in_runs(monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    counts, moves = np.array([1, 700, 3, 1000, 257, 256, 40]), r.normal(size=(2, 2))
+    emissions = r.normal(size=counts.sum())
+    monkeypatch.setattr(quality, "RUN", 5000)
+    good, expected = quality._chain(emissions, counts, moves)
+    for run in (1, 2, 7, 256):
+        monkeypatch.setattr(quality, "RUN", run)
+        again, moved = quality._chain(emissions, counts, moves)
+        assert np.allclose(good, again) and np.allclose(expected, moved)
+
+
+def test_texts_of_very_many_lines():
+    import time
+
+    model = quality.Model(*[getattr(quality.train(*[x for x in (quality.line_features([b"a line of words\n" * 5, b"### 00\n" * 5])[k] for k in (0, 2))], __import__("numpy").array([1, 0])), n) for n in ("edges", "weights", "bias", "moves")])
+    began = time.time()
+    score = quality.score_texts(model, [b"a line of words\n" * 1_000_000, b"### 00\n" * 1000, b""])
+    assert score[0] > 0.9 > 0.1 > score[1] and time.time() - began < 60
+    assert len(set(quality.sampled_lines(100_000).tolist())) == quality.SAMPLE_LINES and quality.sampled_lines(100_000)[[0, -1]].tolist() == [0, 99_999]
+
+
+def test_quality_scores_by_brute_force():
+    """Features, bins, neighbours, chain and length weights, a line at a time."""
+    import itertools
+
+    texts = [b"One line here.\n\nAnother line, with more words in it!\n   x  x  x", b"", b"#!$ 99\n99 99 99", "Ünïcode Zeile.\n".encode()]
+    features, _, counts = quality.line_features(texts)
+    import numpy as np
+
+    model = quality.train(features, counts, np.array([1, 0, 0, 1]))
+    r = np.random.default_rng(3)
+    model = quality.Model(model.edges, r.normal(size=model.weights.shape), 0.3, r.normal(size=(2, 2)))
+
+    def look(line):
+        kinds = [sum(b in group for b in line) for group in (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\x0b\x0c", b".,;:'\"?()-", b"!", b"#$%&*+/<=>@[\\]^_`{|}~")]
+        kinds = [len(line) - sum(kinds) - sum(b > 127 for b in line), *kinds, sum(b > 127 for b in line)]
+        out = [k / len(line) if line else 0 for k in kinds] + [math.log1p(len(line))]
+        w = line.split()
+        tail = [len(line) / len(w), len(set(w)) / len(w), math.log1p(len(w)), w[-1][-1:] in (b".", b"?", b"!", b'"'), sum(a == b for a, b in zip(w, w[1:])) / len(w)] if w else [0] * 5
+        return [int(np.searchsorted(model.edges[k], np.float32(x), "left")) for k, x in enumerate(out + tail)]
+
+    for text, got in zip(texts, quality.score_texts(model, texts)):
+        lines = text.split(b"\n")
+        bins = [look(x) for x in lines]
+        energy = []
+        for k in range(len(lines)):
+            e = 0.3 + sum(model.weights[0][f][x] for f, x in enumerate(bins[k]))
+            e += sum(model.weights[1][f][x] for f, x in enumerate(bins[k - 1])) if k else 0
+            e += sum(model.weights[2][f][x] for f, x in enumerate(bins[k + 1])) if k + 1 < len(lines) else 0
+            energy.append(e)
+        weigh = {y: math.exp(sum(e for e, v in zip(energy, y) if v) + sum(model.moves[a, b] for a, b in zip(y, y[1:]))) for y in itertools.product((0, 1), repeat=len(lines))}
+        good = [sum(w for y, w in weigh.items() if y[k]) / sum(weigh.values()) for k in range(len(lines))]
+        size = [len(x) for x in lines] if text.strip(b"\n") else [1] * len(lines)
+        assert abs(got - sum(g * n for g, n in zip(good, size)) / sum(size)) < 1e-6
+
+
+def test_languages_by_brute_force(monkeypatch):
+    """The language of fewest phrases for each window, one phrase at a time."""
+    monkeypatch.setattr(langid, "WINDOW", 7)
+    r = random.Random(11)
+    samples = {name: ["".join(r.choice(letters) for _ in range(60)) for _ in range(2)] for name, letters in (("xx", "abc "), ("yy", "bcd "), ("zz", "漢字bか "))}
+    samples = {k: [langid.fold(t) for t in v] for k, v in samples.items()}
+    own = langid.Parser(samples)
+    texts = ["".join(r.choice("abcdé漢字か 7") for _ in range(r.randrange(1, 60))) for _ in range(60)]
+
+    def phrases(window, language):
+        have = " ".join(samples[language]) + " "
+        at = n = 0
+        while at < len(window):
+            length = 1
+            while at + length < len(window) and window[at : at + length + 1] in have:
+                length += 1
+            at, n = at + length, n + 1
+        return n
+
+    for text, (lang, score) in zip(texts, own.best(texts)):
+        folded = langid.fold(text)
+        if not folded:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        totals = [sum(phrases(folded[k : k + 7], name) for k in range(0, len(folded), 7)) for name in own.langs]
+        first, second = sorted(totals)[:2]
+        assert (lang, score) == (own.langs[totals.index(first)], 1 - first / second)
+
+
+def test_samples_are_spread_over_whole_texts():
+    text = "".join(chr(0x4E00 + k) for k in range(5000))
+    got = langid.spread(text, 1100)
+    assert len(got) <= 1100 and got[0] == text[0] and got[-1] == text[-1]
+    assert langid.spread(text, 200)[0] == text[0] and langid.spread(text, 200)[-1] == text[-1] and langid.spread(text, 200).count(" ") == 3
+    assert langid.spread(text, 50) == text[2475:2525][:50] and langid.spread("ab", 5) == "ab" and langid.spread("abc", 1) == "b"
+
+
 @pytest.mark.parametrize("real", [False, True])
 def test_lm_base_and_model(spark, small, real):
     docs = table(spark, small, "documents") if real else frame(spark)

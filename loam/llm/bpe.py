@@ -255,7 +255,8 @@ def _gathered(given: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
 def encode_documents(documents: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, cached: int = CACHE_PIECES, gathered: int = GATHERED_BYTES) -> DataFrame:
     """id, ids array<int> (if wanted), n_tokens, and SHA-256 of the ids as text and of the bytes they decode to.
 
-    Null text: as empty. Empty text: no ids. One output row for each input row, whatever the id. `cached` pieces (twice
+    Null text: as empty. Empty text: no ids. One output row for each input row, whatever the id; equal texts of a batch
+    are encoded once. `cached` pieces (twice
     that at most) and `gathered` bytes of text bound a worker's memory: less of either costs time, never results.
     """
     prepare(documents.sparkSession)
@@ -268,13 +269,14 @@ def encode_documents(documents: DataFrame, ranks_path: str, pattern: str, id_col
         own = engine(ranks_file, pattern)
         own.cached = cached
         for batch in _gathered(given, gathered):
-            ids, counts, digests, decoded = [], [], [], []
-            for text, plain in own.encode(batch.column("text").to_pylist()):
-                if with_ids:
-                    ids.append([int(x) for x in text.split(",")] if text else [])
-                counts.append(text.count(",") + 1 if text else 0)
-                digests.append(hashlib.sha256(text.encode()).hexdigest())
-                decoded.append(hashlib.sha256(plain).hexdigest())
+            texts = batch.column("text").to_pylist()
+            distinct, found = dict.fromkeys(texts), []  # copies of a text often follow one another
+            for k, (text, (told, plain)) in enumerate(zip(distinct, own.encode(list(distinct)), strict=True)):
+                distinct[text] = k
+                count = told.count(",") + 1 if told else 0
+                found.append(([int(x) for x in told.split(",")] if with_ids and told else [], count, hashlib.sha256(told.encode()).hexdigest(), hashlib.sha256(plain).hexdigest()))
+            each = [found[distinct[text]] for text in texts]
+            ids, counts, digests, decoded = zip(*each, strict=True) if each else ((), (), (), ())
             columns = {"doc_id": batch.column("doc_id")} | ({"ids": pa.array(ids, pa.list_(pa.int32()))} if with_ids else {})
             yield pa.RecordBatch.from_pydict(columns | {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())})
 

@@ -198,7 +198,8 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), one row for each input row.
 
     Empty and null texts have fingerprint zero and are linked like any other. A row whose doc_id is null links
-    nothing: its component_id is that of its fingerprint's rows with ids, or null. Repeated rows repeat.
+    nothing: its component_id is that of its fingerprint's rows with ids, or null. Repeated rows repeat. Ids are longs
+    and name documents: rows of one id are one document, so what is linked to any of their texts is linked to all.
     """
     prints = settle(fingerprints(documents, id_col, text_col, words), "fingerprints")
     nodes = settle(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")

@@ -57,7 +57,11 @@ def in_blocks(rows: DataFrame, queries: DataFrame, cell: list[str]) -> tuple[Dat
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score of each query's k best; found: id, score, ids. A query is not its own candidate."""
+    """query_id, rank, vec_id, score of each query's k best; found: id, score, ids. A query is not its own candidate.
+
+    Equal scores go by the smaller id. Scores of floating-point products are equal if all their bits are: for different
+    vectors whose exact products tie, the order of a product's sums decides.
+    """
     best = Window.partitionBy("id").orderBy(F.col("score").desc(), F.element_at("ids", 1))
     few = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1)
     rows = few.select(F.col("id").alias("query_id"), F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")

@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +35,7 @@ LONG_BYTES = 64
 GATHERED_BYTES = 4 << 20
 #: Bytes of pieces per DuckDB query.
 QUERY_BYTES = 400_000
-CACHE_PIECES = 250_000
+CACHE_PIECES = 400_000
 
 #: Positions are numbered through: place >> 6 is the piece, place & 63 the position, so that one order serves all.
 _SHORT = """
@@ -127,18 +128,19 @@ class Engine:
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
         self.db.register("v", pa.table({"tok": pa.array(self.ranks.values(), ints), "bytes": pa.array(self.ranks.keys(), pa.binary())}))
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM v")
-        self.young: dict[str, tuple[str, bytes]] = {}
-        self.old: dict[str, tuple[str, bytes]] = {}
+        # of the pieces met lately, and of those before: ids as text, decoded bytes
+        self.young: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
+        self.old: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
 
     def contract(self, pieces: list[bytes]) -> list[tuple[list[int], bytes]]:
         """Each piece's ids, and the bytes that they decode to."""
+        if max(map(len, pieces), default=0) <= LONG_BYTES:
+            return self._contract(pieces)
         parts, owner = [], []
         for k, piece in enumerate(pieces):
             found = [piece] if len(piece) <= LONG_BYTES else self._apart(piece)
             parts += found
             owner += [k] * len(found)
-        if len(parts) == len(pieces):
-            return self._contract(pieces)
         out: list = [([], b"")] * len(pieces)
         for k, (ids, decoded) in zip(owner, self._contract(parts), strict=True):
             out[k] = (out[k][0] + ids, out[k][1] + decoded) if out[k][0] else (ids, decoded)
@@ -185,28 +187,31 @@ class Engine:
         for piece, ids, parts in self.db.execute(query).fetchall():
             out[piece] = (ids, b"".join(parts))
 
-    def known(self, pieces: set[str]) -> dict[str, tuple[str, bytes]]:
+    def known(self, pieces: set[str]) -> tuple[dict[str, str], dict[str, bytes]]:
         """Ids as text and decoded bytes of all the pieces; the caches keep those met lately."""
-        if len(self.young) > self.cached:
-            self.old, self.young = self.young, {}
+        if len(self.young[0]) > self.cached:
+            self.old, self.young = self.young, ({}, {})
+        ids, decoded = self.young
         new = []
-        for piece in pieces:
-            if piece not in self.young:
-                if found := self.old.get(piece):
-                    self.young[piece] = found
-                else:
-                    new.append(piece)
-        for piece, (ids, decoded) in zip(new, self.contract([x.encode() for x in new]), strict=True):
-            self.young[piece] = (",".join(map(str, ids)), decoded)
+        for piece in pieces.difference(ids):
+            if (found := self.old[0].get(piece)) is not None:
+                ids[piece], decoded[piece] = found, self.old[1][piece]
+            else:
+                new.append(piece)
+        for piece, (found, plain) in zip(new, self.contract([x.encode() for x in new]), strict=True):
+            ids[piece], decoded[piece] = ",".join(map(str, found)), plain
         return self.young
 
     def encode(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         """For each text its ids, joined by commas, and the bytes that they decode to."""
         split = [self.find(text) for text in texts]
-        known = self.known(set().union(*split)) if split else {}
+        ids, decoded = self.known(set().union(*split)) if split else ({}, {})
         for pieces in split:
-            ids, decoded = zip(*map(known.__getitem__, pieces), strict=True) if pieces else ((), ())
-            yield ",".join(ids), b"".join(decoded)
+            if len(pieces) > 1:
+                chosen = itemgetter(*pieces)
+                yield ",".join(chosen(ids)), b"".join(chosen(decoded))
+            else:
+                yield (ids[pieces[0]], decoded[pieces[0]]) if pieces else ("", b"")
 
     def decode(self, rows: list[list[int]]) -> list[bytes]:
         """The bytes of each list of ids, by an ordered aggregation over token-position rows."""

@@ -6,10 +6,17 @@ and its successor with the merge table and contracts the leftmost pair of the lo
 piece has a pair left. An ordered aggregation then lists each piece's ids and the bytes that those ids stand for.
 
 Pieces of over LONG_BYTES bytes are first cut between bytes that stand side by side in no token. What is still longer
-takes a second recursive query that contracts, in a round, the occurrences of the piece's lowest pair from the left
-without overlap, up to the first whose token makes a pair of lower rank with a neighbour: that pair is next. So the rule
-is the same for all lengths and any vocabulary: always the leftmost pair of the lowest rank. A vocabulary must hold all
-single bytes; ranks may be any below 2^31.
+is contracted in many places at once, by windows. Beside the token rows stand the spans: where the bytes of any token
+of two bytes or more occur. A span is live while it covers two tokens or more whole. A live span over just two is a
+pair, and it is contracted when no live span that ends with its first token or begins with its second one has a lower
+rank (equal ranks: from the left, without overlap): then nothing can take either token away before its turn. Tokens
+that no live span covers are final. Spans that cross the window's end only stand in the way; the next window begins
+where the first token isn't final. Rounds are then as many as merges depend on one another, whatever the length.
+That needs a vocabulary in which every token's own contraction ends in that token, by rising ranks. With any other
+one, long pieces take a third query that contracts, in a round, the occurrences of the piece's lowest pair from the
+left without overlap, up to the first whose token makes a pair of lower rank with a neighbour: that pair is next.
+So the rule is the same for all lengths and any vocabulary: always the leftmost pair of the lowest rank. A vocabulary
+must hold all single bytes; ranks may be any below 2^31.
 
 Null texts count as empty; an empty text has no tokens. Rows are handled one by one, so repeated rows give repeated
 results, and further input columns are not looked at. Memory is bounded by one Arrow batch and two caches of
@@ -19,7 +26,9 @@ CACHE_PIECES pieces; texts are never cut.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 from operator import itemgetter
 
@@ -36,6 +45,8 @@ GATHERED_BYTES = 4 << 20
 #: Bytes of pieces per DuckDB query.
 QUERY_BYTES = 400_000
 CACHE_PIECES = 400_000
+#: Bytes of a long piece that are contracted at a time; a query takes windows until it has as many.
+WINDOW_BYTES = 16_384
 
 #: Positions are numbered through: place >> 6 is the piece, place & 63 the position, so that one order serves all.
 _SHORT = """
@@ -55,6 +66,48 @@ WITH RECURSIVE step(place, tok, live) AS (
 SELECT (s.place >> 6)::INTEGER AS piece, list(s.tok ORDER BY s.place) AS ids, list(v.bytes ORDER BY s.place) AS parts
 FROM step s JOIN vocabulary v ON v.tok = s.tok WHERE NOT s.live GROUP BY 1
 """
+#: Kinds of rows: 0 tokens, 1 spans, 2 final tokens, 3 tokens that the next window decides. Spans that cross the window's end end at NULL.
+_WINDOW = """
+WITH RECURSIVE step(piece, s, e, tok, kind) AS (
+  SELECT piece, s, e, tok, kind FROM seed
+  UNION ALL (
+    WITH tok AS (
+      SELECT piece, s, e, tok, lead(e) OVER w AS next_e, row_number() OVER w AS nth FROM step WHERE kind = 0 WINDOW w AS (PARTITION BY piece ORDER BY s)),
+    live AS (
+      SELECT x.piece, x.s, x.e, x.tok AS rank, a.nth, coalesce(x.e = a.next_e, false) AS pair, coalesce(b.nth, 1 << 30) AS last
+      FROM step x JOIN tok a ON a.piece = x.piece AND a.s = x.s LEFT JOIN tok b ON b.piece = x.piece AND b.e = x.e
+      WHERE x.kind = 1 AND (x.e IS NULL OR b.nth > a.nth)),
+    ending AS (SELECT piece, e, min(rank) AS rank FROM live WHERE NOT pair AND e IS NOT NULL GROUP BY ALL),
+    starting AS (SELECT piece, s, min(rank) AS rank FROM live GROUP BY ALL),
+    pair AS (
+      SELECT p.piece, p.s, p.nth, p.rank,
+             coalesce(x.rank > p.rank, true) AND coalesce(y.rank >= p.rank, true) AS clear,
+             p.nth - row_number() OVER (PARTITION BY p.piece, p.rank ORDER BY p.nth) AS run,
+             CASE WHEN lag(p.nth) OVER w = p.nth - 1 THEN lag(p.rank) OVER w END AS before
+      FROM live p JOIN tok a ON a.piece = p.piece AND a.nth = p.nth
+      LEFT JOIN ending x ON x.piece = p.piece AND x.e = a.e LEFT JOIN starting y ON y.piece = p.piece AND y.s = a.e
+      WHERE p.pair WINDOW w AS (PARTITION BY p.piece ORDER BY p.nth)),
+    even AS (
+      SELECT piece, nth, rank, bool_and(clear AND coalesce(before >= rank, true)) OVER (PARTITION BY piece, rank, run ORDER BY nth) AS taken
+      FROM (SELECT *, nth - min(nth) OVER (PARTITION BY piece, rank, run) AS place FROM pair) WHERE place % 2 = 0),
+    taken AS (SELECT piece, nth, rank FROM even WHERE taken),
+    going AS (SELECT DISTINCT piece FROM taken),
+    reach AS (SELECT piece, nth, max(last) AS last FROM live GROUP BY ALL),
+    covered AS (
+      SELECT t.piece, t.s, t.e, t.tok, t.nth, t.next_e, coalesce(max(r.last) OVER (PARTITION BY t.piece ORDER BY t.nth) >= t.nth, false) AS covered
+      FROM tok t LEFT JOIN reach r ON r.piece = t.piece AND r.nth = t.nth)
+    SELECT c.piece, c.s, CASE WHEN h.nth IS NULL THEN c.e ELSE c.next_e END, coalesce(h.rank, c.tok),
+           CASE WHEN NOT c.covered THEN 2 WHEN g.piece IS NULL THEN 3 ELSE 0 END
+    FROM covered c LEFT JOIN taken h ON h.piece = c.piece AND h.nth = c.nth
+    LEFT JOIN taken o ON o.piece = c.piece AND o.nth = c.nth - 1
+    LEFT JOIN going g ON g.piece = c.piece
+    WHERE o.nth IS NULL
+    UNION ALL
+    SELECT l.piece, l.s, l.e, l.rank, 1 FROM live l JOIN going g ON g.piece = l.piece))
+SELECT piece, list(tok ORDER BY s) FILTER (kind = 2) AS ids, list(s ORDER BY s) FILTER (kind = 2) AS places,
+       min(s) FILTER (kind = 3) AS undecided
+FROM step WHERE kind >= 2 GROUP BY piece
+"""
 _LONG = """
 WITH RECURSIVE step(piece, pos, tok, live) AS (
   SELECT piece, pos, tok, true FROM seed
@@ -154,12 +207,74 @@ class Engine:
         cuts = (np.flatnonzero(np.frombuffer(self.together, np.uint8)[at[:-1] << 8 | at[1:]] == 0) + 1).tolist()
         return [piece[a:b] for a, b in zip([0, *cuts], [*cuts, len(piece)], strict=True)]
 
+    @functools.cached_property
+    def plain(self) -> dict[int, bytes]:
+        return {rank: token for token, rank in self.ranks.items()}
+
+    @functools.cached_property
+    def prefixes(self) -> set[bytes] | None:
+        """All beginnings of tokens; None if some token's own contraction doesn't end in it by rising ranks."""
+        for token, rank in self.ranks.items():
+            parts, last = [token[i : i + 1] for i in range(len(token))], -1
+            while len(parts) > 1:
+                lowest, at = min((self.ranks.get(a + b, rank + 1), i) for i, (a, b) in enumerate(itertools.pairwise(parts)))
+                if not last <= lowest <= rank or lowest == rank and len(parts) > 2:
+                    return None
+                parts[at : at + 2], last = [parts[at] + parts[at + 1]], lowest
+        return {token[:k] for token in self.ranks for k in range(1, len(token) + 1)}
+
+    def _spans(self, piece: bytes, start: int, end: int) -> tuple[list[int], list[int | None], list[int]]:
+        """Where tokens of two bytes or more occur that begin in a window: start, end and rank; the end is None beyond the window."""
+        starts, ends, found = [], [], []
+        for s in range(start, end):
+            e = s + 2
+            while e <= len(piece) and (part := piece[s:e]) in self.prefixes:
+                if (rank := self.ranks.get(part)) is not None:
+                    starts.append(s)
+                    ends.append(e if e <= end else None)
+                    found.append(rank)
+                e += 1
+        return starts, ends, found
+
+    def _by_windows(self, pieces: list[bytes], chosen: list[int], out: list) -> None:
+        """Contracts long pieces, each from where its last window left off; a window that decides nothing is doubled."""
+        import numpy as np
+
+        at, wide = dict.fromkeys(chosen, 0), dict.fromkeys(chosen, WINDOW_BYTES)
+        ids: dict[int, list[int]] = {i: [] for i in chosen}
+        while at:
+            seeds, total, ends = [], 0, {}
+            for i, start in at.items():
+                ends[i] = end = min(len(pieces[i]), start + wide[i])
+                places = np.arange(start, end)
+                single = np.array(self.single, np.int32)[np.frombuffer(pieces[i], np.uint8)[start:end]]
+                seeds.append(pa.table({"s": places, "e": places + 1, "tok": single, "kind": np.zeros(end - start, np.int32)}))
+                s, e, rank = self._spans(pieces[i], start, end)
+                seeds.append(pa.table({"s": pa.array(s, pa.int64()), "e": pa.array(e, pa.int64()), "tok": pa.array(rank, pa.int32()), "kind": np.ones(len(s), np.int32)}))
+                seeds[-2:] = [x.append_column("piece", pa.array(np.full(len(x), i, np.int32))) for x in seeds[-2:]]
+                total += end - start
+                if total >= WINDOW_BYTES:
+                    break
+            self.db.register("seed", pa.concat_tables(seeds))
+            for i, found, places, undecided in self.db.execute(_WINDOW).fetchall():
+                stop = ends[i] if undecided is None else undecided
+                if stop == at[i]:
+                    wide[i] *= 2
+                    continue
+                ids[i] += [tok for tok, place in zip(found, places, strict=True) if place < stop]
+                at[i], wide[i] = stop, WINDOW_BYTES
+                if stop == len(pieces[i]):
+                    del at[i]
+        for i in chosen:
+            out[i] = (ids[i], b"".join(self.plain[x] for x in ids[i]))
+
     def _contract(self, pieces: list[bytes]) -> list[tuple[list[int], bytes]]:
         out: list = [([], b"")] * len(pieces)
-        for query, chosen in (
-            (_SHORT, [i for i, x in enumerate(pieces) if 0 < len(x) <= LONG_BYTES]),
-            (_LONG, [i for i, x in enumerate(pieces) if len(x) > LONG_BYTES]),
-        ):
+        long = [i for i, x in enumerate(pieces) if len(x) > LONG_BYTES]
+        if long and self.prefixes is not None:
+            self._by_windows(pieces, long, out)
+            long = []
+        for query, chosen in ((_SHORT, [i for i, x in enumerate(pieces) if 0 < len(x) <= LONG_BYTES]), (_LONG, long)):
             start = 0
             while start < len(chosen):
                 end, total = start, 0

@@ -5,16 +5,16 @@ DuckDB as token-position rows (piece, position, token), one row a byte at first.
 and its successor with the merge table and contracts the leftmost pair of the lowest rank of every piece, until no
 piece has a pair left. An ordered aggregation then lists each piece's ids and the bytes that those ids stand for.
 
-Pieces of over LONG_BYTES bytes are first cut between bytes that stand side by side in no token. What is still longer
-is contracted in many places at once, by windows. Beside the token rows stand the spans: where the bytes of any token
+Pieces of over LONG_BYTES bytes are contracted in many places at once, by windows. Beside the token rows stand the spans: where the bytes of any token
 of two bytes or more occur. A span is live while it covers two tokens or more whole. A live span over just two is a
 pair, and it is contracted when no live span that ends with its first token or begins with its second one has a lower
 rank (equal ranks: from the left, without overlap): then nothing can take either token away before its turn. Tokens
 that no live span covers are final. Spans that cross the window's end only stand in the way; the next window begins
 where the first token isn't final. Rounds are then as many as merges depend on one another, whatever the length.
 That needs a vocabulary in which every token's own contraction ends in that token, by rising ranks. With any other
-one, long pieces take a third query that contracts, in a round, the occurrences of the piece's lowest pair from the
-left without overlap, up to the first whose token makes a pair of lower rank with a neighbour: that pair is next.
+one, long pieces are cut between bytes that stand side by side in no token, and what is still long takes a third query
+that contracts, in a round, the occurrences of the piece's lowest pair from the left without overlap, up to the first
+whose token makes a pair of lower rank with a neighbour: that pair is next.
 So the rule is the same for all lengths and any vocabulary: always the leftmost pair of the lowest rank. A vocabulary
 must hold all single bytes; ranks may be any below 2^31.
 
@@ -187,7 +187,7 @@ class Engine:
 
     def contract(self, pieces: list[bytes]) -> list[tuple[list[int], bytes]]:
         """Each piece's ids, and the bytes that they decode to."""
-        if max(map(len, pieces), default=0) <= LONG_BYTES:
+        if max(map(len, pieces), default=0) <= LONG_BYTES or self.prefixes is not None:
             return self._contract(pieces)
         parts, owner = [], []
         for k, piece in enumerate(pieces):

@@ -118,6 +118,49 @@ def test_long_pieces_are_cut_where_no_token_reaches(encoding):
     assert engine.contract([piece]) == [(whole._encode_single_piece(piece), piece)]
 
 
+def test_a_megabyte_without_a_break(encoding):
+    engine, whole = encoding
+    r = random.Random(11)
+    kinds = [b"abcdefghijklmnopqrstuvwxyz", b"aaaeiorstn", b"="]
+    piece = b"".join(bytes(r.choice(kinds[k % 3]) for _ in range(1000)) for k in range(1000))
+    assert engine.contract([piece]) == [(whole._encode_single_piece(piece), piece)]
+
+
+@pytest.mark.parametrize("window", [48, 16_384])
+def test_windows_of_long_pieces(encoding, monkeypatch, window):
+    """Windows of any width give what the whole piece gives, whatever stands at their ends."""
+    engine, whole = encoding
+    r = random.Random(window)
+    pieces = ["".join(r.choice(kind) for _ in range(r.randint(65, 250))).encode() for kind in ("a", "ab", "the", "intos", "=-.", "\u00e8\u00e9\u4e2d", "AB01+/xyz") for _ in range(8)]
+    monkeypatch.setattr(bpe, "WINDOW_BYTES", window)
+    assert engine.prefixes is not None
+    assert engine.contract(pieces) == [(whole._encode_single_piece(p), p) for p in pieces]
+
+
+def test_random_vocabularies(monkeypatch):
+    """Vocabularies of random merges, some with tokens that their own contraction misses: both ways of long pieces."""
+    monkeypatch.setattr(bpe, "LONG_BYTES", 0)
+    taken = Counter()
+    for seed in range(40):
+        r = random.Random(seed)
+        letters, tokens = "abc"[: r.randint(1, 3)], {}
+        pool = list(letters)
+        for _ in range(r.randint(1, 12)):
+            token = r.choice(pool) + r.choice(pool)
+            if len(token) < 9 and token not in tokens:
+                tokens[token] = 256 + len(tokens)
+                pool.append(token)
+        if seed % 2:  # tokens before the parts that they are made of
+            tokens = dict(zip(r.sample(list(tokens), len(tokens)), tokens.values(), strict=True))
+        engine, ranks = engine_of(tokens)
+        whole = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        monkeypatch.setattr(bpe, "WINDOW_BYTES", r.choice([16, 64, 16_384]))
+        pieces = ["".join(r.choice(letters) for _ in range(r.randint(1, 90))).encode() for _ in range(12)]
+        assert engine.contract(pieces) == [(whole._encode_single_piece(p), p) for p in pieces]
+        taken[engine.prefixes is None] += 1
+    assert min(taken[True], taken[False]) > 5
+
+
 @pytest.mark.parametrize("real", [False, True])
 def test_bpe(spark, middle, encoding, real):
     docs = table(spark, middle, "documents") if real else frame(spark)

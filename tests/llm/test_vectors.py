@@ -82,3 +82,37 @@ def test_partitions_are_balanced():
     near = np.random.default_rng(1).integers(0, 1000, size=(1000, 6))
     sizes = np.bincount(ann.partition_graph(near, 8))
     assert len(sizes) == 8 and sizes.max() <= np.ceil(1.05 * 1000 / 8)
+
+
+def test_routing_prunes_where_vectors_cluster():
+    """Of clustered vectors most partitions aren't visited, and queries that took no part in the fit reach their nearest."""
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(48, 24))
+    x = centres[r.integers(0, 48, 3000)] + 0.15 * r.normal(size=(3000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    router = ann.fit(x[:2000], 16)
+    assert 1 <= router.probes <= 8
+    cell, asked = router.order(x)[:, 0], router.order(x[2000:])[:, : router.probes]
+    scores = x[2000:] @ x.T
+    scores[np.arange(1000), np.arange(2000, 3000)] = -np.inf
+    near = np.argsort(-scores, axis=1)[:, : ann.K]
+    assert (cell[near][:, :, None] == asked[:, None, :]).any(2).mean() >= 0.9
+    assert (cell[None, :, None] == asked[:, None, :]).any(2).mean() <= 0.6
+
+
+def test_annuli_prune_where_vectors_cluster(monkeypatch):
+    """Far from the first annulus the triangle inequality leaves rows unread, and the result is exact."""
+    r = np.random.default_rng(6)
+    x = np.vstack([s * 100 + r.integers(-2, 3, size=(500, 5)) for s in range(1, 9)]).astype(float)
+    most2 = float((x * x).sum(1).max())
+    pivot = np.hstack([x[-1], np.sqrt(most2 - x[-1] @ x[-1])])
+    radius = np.sqrt(((topk._augmented(x, most2) - pivot) ** 2).sum(1))
+    order = np.argsort(radius, kind="stable")
+    x, radius, read = x[order], radius[order], []
+    plain = topk._products
+    monkeypatch.setattr(topk, "_products", lambda rows, q: (read.append(len(rows)), plain(rows, q))[1])
+    q = x[0]
+    d = float(np.sqrt(((np.hstack([q, 0]) - pivot) ** 2).sum()))
+    found = topk._expand(x, radius, np.arange(len(x)), q, d, float(q @ q) + most2, None, 6)
+    assert found == sorted(((int(s), i) for i, s in enumerate(x @ q)), key=lambda p: (-p[0], p[1]))[:6]
+    assert sum(read) < len(x)

@@ -19,6 +19,10 @@ from loam.sources.store import Store
 NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 #: Characters that stand in a folder's name as they are.
 _SAFE = " _.-+@,()"
+#: Types that Spark can change in place in an aggregation's hashed rows.
+_FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+#: Files that a task of an unsorted table has open at once; with more partition values it sorts the rest of its rows.
+WRITERS = 16
 
 
 _held: dict[tuple, list] = {}
@@ -90,7 +94,11 @@ def describe(df: DataFrame, spec: TableSpec, store: Store) -> tuple[list[tuple[s
     for i, c in enumerate(spec.stats_columns):
         column = _value(c, spec)
         stats += [F.min(column).alias(f"a{i}"), F.max(column).alias(f"b{i}"), F.count(column).alias(f"n{i}")]
-    rows = df.groupBy(_file_path().alias("path")).agg(F.count(F.lit(1)).alias("rows"), F.max("_metadata.file_size").alias("size"), *parts, *some, *stats).collect()
+    kinds = [spec.schema[c].dataType for c in (*spec.partition_by, *spec.stats_columns)]
+    # for a minimum of text and the like Spark would sort all rows by file, as its hashed rows have fixed lengths; an
+    # aggregate that collects (here nothing) makes it hold a few objects for each file instead
+    held = [] if all(isinstance(k, _FIXED) for k in kinds) else [F.collect_set(F.lit(None).cast("int")).alias("none")]
+    rows = df.groupBy(_file_path().alias("path")).agg(F.count(F.lit(1)).alias("rows"), F.max("_metadata.file_size").alias("size"), *parts, *some, *stats, *held).collect()
     out, mixed = [], []
     for r in rows:
         name = local_name(store, r["path"])
@@ -137,7 +145,7 @@ def stage(df: DataFrame, spec: TableSpec, store: Store) -> list[File]:
     """Writes df into files of the table and tells of them; nobody sees them before a commit does.
 
     Rows meet by partition values, where Spark's adaptive execution splits large partitions and joins small ones, and
-    are sorted within files.
+    are sorted within files, if the table is. Else they go to the files of their partitions as they come.
     """
     df = shaped(df, spec)
     # folders are made from copies, as the columns stay in the files; names that no column has
@@ -145,12 +153,15 @@ def stage(df: DataFrame, spec: TableSpec, store: Store) -> list[File]:
     df = df.withColumns(copies) if copies else df
     df = df.hint("rebalance", *copies)
     order = [*copies, *[f"`{c}`" for c in spec.sort_within_files]]
-    if order:
+    if spec.sort_within_files:
         df = df.sortWithinPartitions(*[F.col(c).asc_nulls_last() if k >= len(copies) else F.col(c) for k, c in enumerate(order)])
     draft = f"{spec.name}/_staging/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     # rows of one partition are in one task (or several, if large) whether small tasks are joined or not, so they aren't
-    with settings(df.sparkSession, {"spark.sql.adaptive.coalescePartitions.enabled": "false"} if copies else {}):
+    wanted = {"spark.sql.adaptive.coalescePartitions.enabled": "false"} if copies else {}
+    if copies and not spec.sort_within_files:
+        wanted["spark.sql.maxConcurrentOutputFileWriters"] = str(WRITERS)
+    with settings(df.sparkSession, wanted):
         (writer.partitionBy(*copies) if copies else writer).parquet(store.url(draft))
     try:
         moves, out = [], []
